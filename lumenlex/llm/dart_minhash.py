@@ -68,7 +68,7 @@ def signatures(cell: np.ndarray, text: np.ndarray, n_texts: int, k: int = COORDI
         darts, ranks, places = [], [], []
         while len(seed):
             throw += 1
-            dart = mixed(seed + np.uint64(throw) * _DART)
+            dart = mixed(seed + np.uint64(throw * int(_DART) % (1 << 64)))
             # The gap to the next dart on a unit of weight is exponential; the coordinate comes from other bits.
             rank = rank - np.log(((dart >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52))
             live = rank <= bound[of]

@@ -89,9 +89,9 @@ class Network:
         return np.concatenate([self.tables["word"][words.word], self.tables["prefix"][words.prefix], grams], 1).astype(np.float32)
 
     def _run(self, gates: np.ndarray, mask: np.ndarray, u: np.ndarray, order: range, keep: list | None) -> np.ndarray:
-        """The states of one direction: gates (windows, WINDOW, 3 * HIDDEN) are the inputs' share."""
-        h, k = np.zeros((len(gates), HIDDEN), np.float32), HIDDEN
-        out = np.empty((WINDOW, len(gates), HIDDEN), np.float32)
+        """The states of one direction: gates (WINDOW, windows, 3 * HIDDEN) are the inputs' share."""
+        h, k = np.zeros((gates.shape[1], HIDDEN), np.float32), HIDDEN
+        out = np.empty((WINDOW, gates.shape[1], HIDDEN), np.float32)
         for t in order:
             x, s = gates[t], h @ u
             zr = _sigmoid(x[:, : 2 * k] + s[:, : 2 * k])
