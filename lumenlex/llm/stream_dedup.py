@@ -22,13 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenlex.llm.common import scratch_path, table
+from lumenlex.llm.common import scratch_path
 
 #: Rows of the source: nothing but the id and the text is read.
 SOURCE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
-LOCATOR = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-#: The row that stays: the smallest doc_id, a null one last, with its locator.
-FIRST = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "file", "row"))
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -40,6 +37,15 @@ ROCKSDB = {
 }
 
 
+def locator() -> tuple[Column, Column]:
+    return F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+
+
+def first_row() -> Column:
+    """The row that stays: the smallest doc_id, a null one last, with its locator."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "file", "row"))
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
@@ -60,8 +66,8 @@ def ingest(spark: SparkSession, path: str, checkpoint: str, bits: int = 256) ->
     for k, v in ROCKSDB.items():
         spark.conf.set(k, v)
     try:
-        rows = spark.readStream.schema(SOURCE).parquet(f"{path[:-1]}[{path[-1]}]").select("doc_id", digest_of(F.col("text"), bits).alias("digest"), *LOCATOR)
-        held = rows.groupBy("digest").agg(FIRST.alias("first"), F.count(F.lit(1)).alias("n"))
+        rows = spark.readStream.schema(SOURCE).parquet(f"{path[:-1]}[{path[-1]}]").select("doc_id", digest_of(F.col("text"), bits).alias("digest"), *locator())
+        held = rows.groupBy("digest").agg(first_row().alias("first"), F.count(F.lit(1)).alias("n"))
         out = f"{checkpoint}/changes"
 
         def emit(changes: DataFrame, batch: int) -> None:
@@ -87,7 +93,7 @@ def _any(spark: SparkSession, path: str) -> bool:
 def exact_groups(spark: SparkSession, path: str, checkpoint: str | None = None, bits: int = 256) -> DataFrame:
     """One row per row under ``path``: doc_id, keep_id, group_size, kept, text_sha256, keep_file, keep_row."""
     state = ingest(spark, path, checkpoint or scratch_path(spark, "stream-dedup"), bits)
-    rows = spark.read.schema(SOURCE).parquet(path).select("doc_id", "text", *LOCATOR)
+    rows = spark.read.schema(SOURCE).parquet(path).select("doc_id", "text", *locator())
     return decide(rows, state, bits)
 
 
@@ -96,7 +102,7 @@ def decide(rows: DataFrame, state: DataFrame, bits: int = 256) -> DataFrame:
     digest, sha = digest_of(F.col("text"), bits), F.sha2(normalised(F.col("text")), 256)
     hits = rows.select("doc_id", "file", "row", normalised(F.col("text")).alias("bytes"), digest.alias("digest"))
     hits = hits.join(state.filter("n > 1").select("digest"), "digest", "left_semi")
-    equal = hits.groupBy("digest", "bytes").agg(FIRST.alias("first"), F.count(F.lit(1)).alias("n"))
+    equal = hits.groupBy("digest", "bytes").agg(first_row().alias("first"), F.count(F.lit(1)).alias("n"))
     groups = equal.select("digest", F.sha2("bytes", 256).alias("sha"), "first.doc_id", "first.file", "first.row", "n")
     single = state.filter("n = 1").select("digest", F.lit(None).cast("string").alias("sha"), "doc_id", "file", "row", "n")
     held = single.unionByName(groups).alias("g")
