@@ -23,7 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlex.llm.common import table
+from lumenlex.llm.common import table, written
+from lumenlex.llm.graph import join_checked
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -96,8 +97,9 @@ def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word, white space before it included."""
     separator = r"[\x20\x09-\x0D]+"
     leading = F.when(F.rlike(text, F.lit(r"^[\x20\x09-\x0D]")), 1).otherwise(0)
-    rest = F.element_at(F.split(text, separator, n + 1 + leading), -1)
-    return F.rtrim(F.left(text, F.length(text) - F.length(rest)), F.lit(" \t\n\x0b\x0c\r"))
+    more = F.concat(text, F.lit(" ."))  # so that something follows the last word
+    rest = F.element_at(F.split(more, separator, n + 1 + leading), -1)
+    return F.rtrim(F.left(more, F.length(more) - F.length(rest)), F.lit(" \t\n\x0b\x0c\r"))
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -106,14 +108,13 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     Rows of size 0 carry no words and cost nothing; they stay once.
     """
     decided = mix(docs, seed).groupBy("doc_id", "source", "size").agg(F.max("whole_epochs").alias("e"), F.sort_array(F.collect_list("part")).alias("parts"))
-    same = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(1))
+    decided = written(decided, "mix")
     sized = docs.withColumn("__size", word_count(docs["text"]))
-    ranked = sized.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy("text"))).alias("d")
-    del same
-    joined = ranked.join(
-        decided.alias("t"),
-        F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.__size") == F.col("t.size")),
-    )
+    repeated = not decided.filter(F.size("parts") > 1).isEmpty()
+    copy = F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy("text")) if repeated else F.lit(1)
+    ranked = sized.withColumn("__copy", copy).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.__size") == F.col("t.size"))
+    joined = join_checked(ranked, decided.alias("t"), same, "inner")
     part = F.element_at("t.parts", F.col("d.__copy"))
     amounts = F.when(F.col("d.__size") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(
         F.filter(F.concat(F.array_repeat(F.col("d.__size"), F.col("t.e").cast("int")), F.array(part)), lambda n: n > 0)
