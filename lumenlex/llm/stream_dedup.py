@@ -32,6 +32,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    # Files are not laid out ahead of their contents: a small partition takes kilobytes, not megabytes.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.metricsEnabled": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
