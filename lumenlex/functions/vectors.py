@@ -35,8 +35,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def exponentials(scores: Column) -> Column:
     """exp(s - max): the unnormalised stable softmax; raises on an empty array."""
-    largest = F.when(F.size(scores) < 1, F.raise_error(F.lit("scores must not be empty")).cast("double")).otherwise(F.array_max(scores))
-    return F.transform(scores, lambda s: F.exp(s - largest))
+    empty = F.raise_error(F.lit("scores must not be empty")).cast("array<double>")
+    return F.when(F.size(scores) < 1, empty).otherwise(F.transform(scores, lambda s: F.exp(s - F.array_max(scores))))
 
 
 def probabilities(scores: Column) -> Column:
