@@ -63,9 +63,9 @@ def _sentences_sql(table: str = "documents", key: str = "doc_id") -> str:
     return rf"""
 split_up AS MATERIALIZED (SELECT {key} AS page_ord, regexp_split_to_array(coalesce(text, ''), '[\n።፧?!]+') AS parts FROM {table}),
 pieces AS MATERIALIZED (SELECT page_ord, unnest(parts) AS piece, generate_subscripts(parts, 1) AS i FROM split_up),
-strings AS MATERIALIZED (SELECT page_ord, row_number() OVER (PARTITION BY page_ord ORDER BY i) - 1 AS piece_idx, sentence
+strings AS MATERIALIZED (SELECT page_ord, CAST(row_number() OVER (PARTITION BY page_ord ORDER BY i) - 1 AS INTEGER) AS piece_idx, sentence
   FROM (SELECT page_ord, i, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS sentence FROM pieces) WHERE sentence <> ''),
-tokens AS MATERIALIZED (SELECT page_ord, row_number() OVER (PARTITION BY page_ord ORDER BY piece_idx) - 1 AS sent_idx, tokens
+tokens AS MATERIALIZED (SELECT page_ord, CAST(row_number() OVER (PARTITION BY page_ord ORDER BY piece_idx) - 1 AS INTEGER) AS sent_idx, tokens
   FROM (SELECT page_ord, piece_idx, {_TOKENS.format("sentence")} AS tokens FROM strings) WHERE len(tokens) >= {MIN_TOKENS})"""
 
 
@@ -74,7 +74,7 @@ _CORPUS = (
     + _sentences_sql()
     + """,
 firsts AS MATERIALIZED (SELECT tokens, min((page_ord, sent_idx)) AS f FROM tokens GROUP BY tokens),
-final AS MATERIALIZED (SELECT f[1] AS page_ord, f[2] AS sent_idx, tokens FROM (SELECT tokens, [struct_extract(f, 1), struct_extract(f, 2)] AS f FROM firsts)),
+final AS MATERIALIZED (SELECT f[1] AS page_ord, CAST(f[2] AS INTEGER) AS sent_idx, tokens FROM (SELECT tokens, [struct_extract(f, 1), struct_extract(f, 2)] AS f FROM firsts)),
 words AS MATERIALIZED (SELECT page_ord, sent_idx, unnest(tokens) AS word, generate_subscripts(tokens, 1) - 1 AS pos FROM final),
 frequency AS MATERIALIZED (SELECT word, count(*) AS n FROM words GROUP BY word)"""
 )
@@ -91,7 +91,7 @@ _PAIRS = (
     _VOCABULARY
     + _IDS
     + """,
-pairs AS (SELECT a.page_ord, a.sent_idx, a.p AS c, b.p AS q, a.id AS center, b.id AS context
+pairs AS (SELECT a.page_ord, a.sent_idx, CAST(a.p AS INTEGER) AS c, CAST(b.p AS INTEGER) AS q, a.id AS center, b.id AS context
   FROM sized a JOIN sized b ON a.page_ord = b.page_ord AND a.sent_idx = b.sent_idx AND abs(a.p - b.p) BETWEEN 1 AND {window}
   WHERE a.size >= 2)"""
 )
