@@ -2,13 +2,15 @@
 
 Vectors are compared by cosine, so they are scaled to length 1 for the index. Coarse centroids and the codebooks of the
 residuals are fitted in numpy on the driver, on at most ``SAMPLE`` vectors (those whose vec_id has the smallest MD5);
-every vector is then indexed: its cell and one byte per subspace. A query looks into its ``probes`` nearest cells, where
-asymmetric distance tables (query residual against codewords) rank the codes; the best ``shortlist`` of them are
-reranked by the exact cosine, in double precision on the original vectors.
+every vector is then indexed: its cell and one byte per subspace. A query looks into the nearest ``PROBE_SHARE``
+of the cells, where an asymmetric distance table (its products with all codewords) ranks the codes: the squared distance
+to centroid c and coded residual r is |q - c|^2 - 2 q.r + (2 c.r + |r|^2), whose last term is kept with the code. The
+best ``SHORTLIST`` are reranked by the exact cosine, in double precision on the original vectors.
 
 Equal vectors are searched once: of each group of equal vectors only the k + 1 smallest ids can ever be among the k
-nearest of a query, and queries with equal vectors share one search. A cell of more than ``CELL_ROWS`` codes is split
-over several tasks, each of which returns its own shortlist, so no cell has to fit one task.
+nearest of a query, and queries with equal vectors share one search. The index is cut into shards of about
+``SHARD_ROWS`` rows by a hash of vec_id, each with all inverted lists of its rows, so no list has to fit one task; each
+shard returns its own shortlist. Queries go to the shards in blocks of about ``QUERY_ROWS``.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, neither do
 vectors of another length than the most common one; equal scores go to the smaller vec_id; a query never finds its own
@@ -18,8 +20,6 @@ found are returned; an empty table gives an empty table; other columns are ignor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,13 +27,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlex.llm.common import map_arrow, table, written
+from lumenlex.llm.hashing import segments
 
 SAMPLE = 20_000
-PROBES = 24
-SHORTLIST = 80
-CELL_ROWS = 20_000
+#: The share of the cells that a query looks into. Vectors without clusters need many; see the README for the recall.
+PROBE_SHARE = 0.6
+SHORTLIST = 40
+SHARD_ROWS = 20_000
+QUERY_ROWS = 2_000
 MOST_CELLS = 1024
-SUBSPACE = 4
+SUBSPACE = 2
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -72,25 +75,45 @@ class Index:
         self.cuts = [slice(at, min(at + SUBSPACE, self.dim)) for at in range(0, self.dim, SUBSPACE)]
         self.books = [k_means(np.ascontiguousarray(residual[:, cut]), 256, 10, rng) for cut in self.cuts]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, codes and the part of the distance that no query changes."""
         x = _unit(x)
         cell = _nearest(x, self.centres)
         residual = x - self.centres[cell]
         codes = np.stack([_nearest(np.ascontiguousarray(residual[:, cut]), book) for cut, book in zip(self.cuts, self.books, strict=True)], 1)
-        return cell, codes.astype(np.uint8)
+        coded = np.concatenate([book[codes[:, part]] for part, book in enumerate(self.books)], 1)
+        return cell, codes.astype(np.uint8), 2 * (self.centres[cell] * coded).sum(1) + (coded * coded).sum(1)
 
-    def probe(self, x: np.ndarray, probes: int) -> np.ndarray:
-        x = _unit(x)
-        near = x @ self.centres.T - (self.centres * self.centres).sum(1) / 2
-        return np.argsort(-near, 1, kind="stable")[:, :probes]
+    def probe(self, query: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest cells of a unit query, and its squared distance to all centroids."""
+        distance = ((self.centres - query) ** 2).sum(1)
+        return np.argsort(distance, kind="stable")[:probes], distance
 
-    def distances(self, query: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distance of a unit query to the codes of a cell, through its distance tables."""
-        residual = query - self.centres[cell]
-        out = np.zeros(len(codes), np.float32)
+    def products(self, query: np.ndarray) -> np.ndarray:
+        """The asymmetric table: the products of a query's parts with the codewords, 256 for each part."""
+        out = np.zeros((len(self.books), 256), np.float32)
         for part, (cut, book) in enumerate(zip(self.cuts, self.books, strict=True)):
-            out += ((book - residual[cut]) ** 2).sum(1)[codes[:, part]]
-        return out
+            out[part, : len(book)] = book @ query[cut]
+        return out.reshape(-1)
+
+
+class Shard:
+    """The inverted lists of some rows."""
+
+    def __init__(self, index: Index, ids: np.ndarray, cell: np.ndarray, codes: np.ndarray, bias: np.ndarray):
+        order = np.lexsort((ids, cell))
+        self.index, self.ids, self.bias = index, ids[order], bias[order]
+        self.places = codes[order].astype(np.int32) + np.arange(codes.shape[1], dtype=np.int32) * 256
+        self.cell = cell[order]
+        self.starts = np.searchsorted(self.cell, np.arange(len(index.centres) + 1))
+
+    def nearest(self, query: np.ndarray, probes: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and coded distances of the best rows in the probed lists; ties go to the smaller id."""
+        cells, to_centre = self.index.probe(query, probes)
+        rows = segments(self.starts[cells], self.starts[cells + 1] - self.starts[cells])
+        distance = to_centre[self.cell[rows]] + self.bias[rows] - 2 * self.index.products(query)[self.places[rows]].sum(1)
+        best = np.lexsort((self.ids[rows], np.round(distance, 5)))[:most]
+        return self.ids[rows[best]], distance[best]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -117,7 +140,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Index | None:
     return Index(np.array([r["embedding"] for r in taken], np.float64), rows.count()) if taken else None
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, probes: int = PROBES, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, probe_share: float = PROBE_SHARE, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for every row that ``is_query`` selects."""
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -125,52 +148,33 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, probes: int = PROBE
     candidates = written(rows.dropDuplicates(["vec_id", "embedding"]).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).drop("r"), "ann-rows")
     queries = rows.filter(is_query).select("vec_id", "embedding")
     index = fit(candidates, sample)
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
     if index is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    probes = max(1, round(probe_share * len(index.centres)))
+    # Equal query vectors share one search, named by their smallest id.
+    named = written(queries.groupBy("embedding").agg(F.min("vec_id").alias("q")), "ann-queries")
+    shards, blocks = max(1, -(-candidates.count() // SHARD_ROWS)), max(1, -(-named.count() // QUERY_ROWS))
 
     def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cell, codes = index.encode(_matrix(batch.column(1)))
-        return pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "cell": pa.array(cell, pa.int32()), "code": pa.array([c.tobytes() for c in codes], pa.binary())})
-
-    codes = written(map_arrow(candidates, coded, "vec_id bigint, cell int, code binary", 4000), "ann-codes")
-    # At most MOST_CELLS counts: how many tasks share each cell.
-    parts = {r["cell"]: -(-r["n"] // CELL_ROWS) for r in codes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    split = np.ones(len(index.centres), np.int64)
-    split[[*parts]] = [*parts.values()]
-
-    def probed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, cells, chunks = [], [], []
-        for row, found in enumerate(index.probe(_matrix(batch.column(1)), probes)):
-            for cell in found:
-                for chunk in range(split[cell]):
-                    at.append(row)
-                    cells.append(int(cell))
-                    chunks.append(chunk)
-        picked = batch.take(pa.array(at, pa.int64()))
-        return pa.RecordBatch.from_pydict({"q": picked.column(0), "vector": picked.column(1), "cell": pa.array(cells, pa.int32()), "chunk": pa.array(chunks, pa.int32())})
-
-    # Equal query vectors share one search, named by their smallest id.
-    named = queries.groupBy("embedding").agg(F.min("vec_id").alias("q"))
-    probing = map_arrow(named.select("q", "embedding"), probed, "q bigint, vector array<float>, cell int, chunk int", 500)
-    spread = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]) if any(n > 1 for n in parts.values()) else None
-    chunk = F.pmod(F.xxhash64("vec_id"), spread[F.col("cell")]).cast("int") if spread is not None else F.lit(0)
-
-    def ranked(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float32")})
-        if not len(asked) or not len(held):
-            return empty
-        held = held.sort_values("vec_id")
-        ids = held["vec_id"].to_numpy()
-        table_of = np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(held), -1)
-        out = []
-        for q, vector in zip(asked["q"], _unit(np.stack(asked["vector"].to_numpy())), strict=True):
-            d = index.distances(vector, int(key[0]), table_of)
-            best = np.argsort(d, kind="stable")[:shortlist]
-            out.append(pd.DataFrame({"q": q, "vec_id": ids[best], "distance": d[best]}))
-        return pd.concat(out, ignore_index=True)
-
-    ranks = probing.groupBy("cell", "chunk").cogroup(codes.withColumn("chunk", chunk).groupBy("cell", "chunk")).applyInPandas(ranked, "q bigint, vec_id bigint, distance float")
+        cell, codes, bias = index.encode(_matrix(batch.column(1)))
+        return pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "cell": pa.array(cell, pa.int32()), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "bias": pa.array(bias, pa.float32())})
+
+    codes = written(map_arrow(candidates, coded, "vec_id bigint, cell int, code binary, bias float", 4000), "ann-codes")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = codes.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
+    asked = named.select("q", F.col("embedding").alias("vector"), F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
+
+    def ranked(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = {"q": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "distance": [np.zeros(0, np.float32)]}
+        if len(asked) and len(held):
+            shard = Shard(index, held["vec_id"].to_numpy(), held["cell"].to_numpy(), np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(held), -1), held["bias"].to_numpy())
+            for q, vector in zip(asked["q"], _unit(np.stack(asked["vector"].to_numpy())), strict=True):
+                ids, distance = shard.nearest(vector, probes, shortlist)
+                for name, values in (("q", np.full(len(ids), q)), ("vec_id", ids), ("distance", distance)):
+                    out[name].append(values)
+        return pd.DataFrame({name: np.concatenate(values) for name, values in out.items()})
+
+    ranks = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInPandas(ranked, "q bigint, vec_id bigint, distance float")
     nearest = Window.partitionBy("q").orderBy("distance", "vec_id")
     short = ranks.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= shortlist).select("q", "vec_id")
     scored = short.join(candidates, "vec_id").join(named.withColumnRenamed("embedding", "vector"), "q")
