@@ -1,7 +1,7 @@
 """Line dedup: one occurrence of every group of equal or similar lines stays.
 
 Lines are normalised (lower case, white space collapsed, digits as 0). Equal normalised lines are one line from the start,
-however often they occur. Distinct lines get a SimHash of ``BLOCKS * 32`` bits over their character 4-grams; two lines
+however often they occur. Distinct lines get a SimHash of ``BLOCKS * 32`` bits over the 4-grams of their bytes; two lines
 within BLOCKS - 1 bits agree in one block of 32 bits by the pigeonhole principle, and most of the pairs a little farther
 apart do so too. Lines that agree in a block are paired as sorted neighbours (see graph.bucket_pairs), pairs whose
 SimHashes differ in more than ``MOST_BITS`` bits are left, and the rest are verified by the edit similarity of the whole
@@ -18,7 +18,6 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,23 +27,22 @@ from pyspark.sql import functions as F
 
 from lumenlex.llm.common import map_arrow, table, written
 from lumenlex.llm.graph import bucket_pairs, components, join_checked
-from lumenlex.llm.hashing import mixed, segments
 
 SIMILARITY = 0.8
-BLOCKS = 8
-MOST_BITS = 77
+BLOCKS = 14
+MOST_BITS = 84
 GRAM = 4
 #: Signed counts that a line's 4-grams are hashed to before the projection.
-SLOTS = 512
+SLOTS = 256
 #: Characters of lines whose grams are worked on at a time.
-CHUNK = 400_000
+CHUNK = 100_000
 
-_digit = re.compile(r"[0-9]")
+_zeros = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
 _planes = None
 
 
-def normalised(line: str) -> str:
-    return _digit.sub("0", " ".join(line.lower().split()))
+def normalised(line: str) -> bytes:
+    return " ".join(line.lower().split()).encode("utf-8", "replace").translate(_zeros)
 
 
 def planes() -> np.ndarray:
@@ -55,26 +53,28 @@ def planes() -> np.ndarray:
     return _planes
 
 
-def simhashes(lines: list[str]) -> np.ndarray:
-    """(lines, BLOCKS) of uint32: which side of each plane a line's signed 4-gram counts lie on."""
-    code = np.frombuffer("".join(f"{line}\0\0\0" for line in lines).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(line) for line in lines])
-    starts = np.cumsum(lengths + 3) - (lengths + 3)
-    at = segments(starts, lengths)
-    gram = np.zeros(len(at), np.uint64)
+def simhashes(lines: list[bytes]) -> np.ndarray:
+    """(lines, BLOCKS) of uint32: which side of each plane a line's signed and damped 4-gram counts lie on."""
+    pad = b"\0" * (GRAM - 1)
+    code = np.frombuffer(b"".join(line + pad for line in lines) + pad, np.uint8).astype(np.uint32)
+    n = len(code) - len(pad)
+    gram = np.zeros(n, np.uint32)
     for k in range(GRAM):
-        gram = gram * np.uint64(0x100000001B3) + code[at + k]
-    h = mixed(gram)
-    slot = (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-    sign = (h & np.uint64(1)).astype(np.float32) * 2 - 1
-    line = np.repeat(np.arange(len(lines)), lengths)
-    out = []
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    for first in range(0, len(lines), 1024):
-        last = min(first + 1024, len(lines))
+        gram = gram * np.uint32(0x01000193) + code[k : n + k]
+    gram = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    gram = (gram ^ (gram >> np.uint32(12))) * np.uint32(0x297A2D39)
+    slot = gram >> np.uint32(33 - SLOTS.bit_length())
+    # Grams that start in the padding count nothing.
+    sign = np.where(code[:n] == 0, 0, (gram & np.uint32(2)).astype(np.float32) - 1)
+    sizes = np.array([len(line) + len(pad) for line in lines])
+    out, ends = [], np.concatenate([[0], np.cumsum(sizes)])
+    for first in range(0, len(lines), 512):
+        last = min(first + 512, len(lines))
         part = slice(ends[first], ends[last])
-        counts = np.bincount((line[part] - first) * SLOTS + slot[part], sign[part], (last - first) * SLOTS).reshape(-1, SLOTS)
-        out.append(np.packbits(counts.astype(np.float32) @ planes() > 0, axis=1).view(">u4").astype(np.uint32))
+        at = np.repeat(np.arange(last - first) * SLOTS, sizes[first:last]) + slot[part]
+        counts = np.bincount(at, sign[part], (last - first) * SLOTS).astype(np.float32).reshape(-1, SLOTS)
+        damped = np.copysign(np.sqrt(np.abs(counts)), counts)  # frequent 4-grams, which most lines share, weigh less
+        out.append(np.packbits(damped @ planes() > 0, axis=1).view(">u4").astype(np.uint32))
     return np.concatenate(out) if out else np.zeros((0, BLOCKS), np.uint32)
 
 
@@ -119,8 +119,15 @@ def distance(a: str, b: str, most: int) -> int:
 
 
 def edit_similar(a: str, b: str, bound: float = SIMILARITY) -> bool:
-    longer = max(len(a), len(b))
-    most = int((1 - bound) * longer + 1e-9)
+    """Is 1 - distance / longer length at least ``bound``? Decided exactly.
+
+    Where both lines have as many words, replacing the words that differ is one way to get from one to the other; if that
+    is cheap enough already, the distance is not needed.
+    """
+    most = int((1 - bound) * max(len(a), len(b)) + 1e-9)
+    p, q = a.split(" "), b.split(" ")
+    if len(p) == len(q) and sum([max(len(x), len(y)) for x, y in zip(p, q, strict=True) if x != y]) <= most:
+        return True
     return distance(a, b, most) <= most
 
 
@@ -135,7 +142,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 if line := normalised(line):
                     rows.append(row)
                     numbers.append(number)
-                    digests.append(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=16).digest())
+                    digests.append(hashlib.blake2b(line, digest_size=16).digest())
                     held.append(line)
                     size += len(line)
                     if size >= CHUNK:
@@ -169,7 +176,7 @@ def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             held = text.as_py().split("\n")
             for x in lines.as_py():
                 ids.append(x["id"])
-                texts.append(normalised(held[x["line"]]))
+                texts.append(normalised(held[x["line"]]).decode())
         return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
 
     return map_arrow(found.select("d.text", "wanted"), batch_of, "id bigint, text string", 250)
