@@ -160,18 +160,22 @@ def near_classes(docs: DataFrame, bound: float = SIMILARITY) -> tuple[DataFrame,
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     texts = written(first.select(F.monotonically_increasing_id().alias("id"), "digest", "least", "n", "bands"), "texts")
     keyed = texts.filter("bands IS NOT NULL").select(F.explode("bands").alias("key"), F.col("id").alias("node"))
-    pairs = written(bucket_pairs(keyed, _partitions(spark)), "candidates")
+    pairs = written(bucket_pairs(keyed, int(spark.conf.get("spark.sql.shuffle.partitions")), spread=4), "candidates")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts.select("id", "digest"), "id")
     cells_of = rows.select("digest", "cells").join(F.broadcast(involved) if involved.count() <= 200_000 else involved, "digest")
     cells_of = written(cells_of.dropDuplicates(["id"]).select("id", "cells"), "cells")
     links = written(similar(pairs, cells_of, bound), "links")
     joined = written(components(links), "components")
-    # Buckets that still hold several components: pair what is apart anew, by the components' own order.
+    # Buckets that still hold several components: pair what is apart anew, until that finds no link. A bucket of one
+    # component stays one, so each round only looks at the buckets that the one before left open. All of their rows are
+    # in the first round's pairs, so their cells are at hand.
+    buckets = keyed
     while True:
         members = written(joined.select(F.col("node").alias("member"), "component"), "members")
-        placed = join_checked(keyed, members, keyed["node"] == members["member"]).select("key", "node", F.coalesce("component", "node").alias("c"))
+        placed = join_checked(buckets, members, F.col("node") == F.col("member")).select("key", "node", F.coalesce("component", "node").alias("c"))
         apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-        open_rows = placed.join(apart, "key")
+        open_rows = written(placed.join(apart, "key"), "open")
+        buckets = open_rows.select("key", "node")
         # Each row of a bucket meets the smallest and largest node of the bucket's lowest and highest component.
         ends = open_rows.groupBy("key").agg(*[f(F.when(F.col("c") == F.col(e), F.struct("node", "c"))).alias(f"{e}_{n}") for e in ("low", "high") for n, f in (("min", F.min), ("max", F.max))])
         met = open_rows.join(ends, "key").select("node", "c", F.explode(F.array("low_min", "low_max", "high_min", "high_max")).alias("other"))
@@ -180,9 +184,6 @@ def near_classes(docs: DataFrame, bound: float = SIMILARITY) -> tuple[DataFrame,
         fresh = written(fresh.join(pairs, ["a", "b"], "left_anti"), "candidates")
         if fresh.isEmpty():
             break
-        more = fresh.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(cells_of.select("id"), "id", "left_anti").join(texts.select("id", "digest"), "id")
-        extra = rows.select("digest", "cells").join(more, "digest").dropDuplicates(["id"]).select("id", "cells")
-        cells_of = written(cells_of.unionByName(extra), "cells")
         found = written(similar(fresh, cells_of, bound), "links")
         pairs = pairs.unionByName(fresh)
         if found.isEmpty():
@@ -199,10 +200,6 @@ def near_classes(docs: DataFrame, bound: float = SIMILARITY) -> tuple[DataFrame,
     return out, named
 
 
-def _partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def one_of_each(docs: DataFrame, bound: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their class; of rows equal in id and text, one."""
     rows, _ = near_classes(docs, bound)

@@ -20,25 +20,23 @@ def join_checked(large: DataFrame, small: DataFrame, on, how: str = "left", most
     return large.join(F.broadcast(small) if small.count() <= most else small, on, how)
 
 
-def bucket_pairs(rows: DataFrame, partitions: int) -> DataFrame:
+def bucket_pairs(rows: DataFrame, partitions: int, reach: int = 1, spread: int = 1) -> DataFrame:
     """(key bigint, node bigint) -> distinct pairs (a, b), a < b, of nodes of one bucket.
 
-    The rows are range-partitioned and sorted by key and a hash of key and node; so a bucket that is too large for one task
-    lies in several, and is read as a stream in any case. Each row is paired with the two rows before it in its bucket
-    and with the first row that its task sees of the bucket: at most three pairs a row, whatever the bucket's size. The
-    order within a bucket depends on the key, so a group of nodes that shares many buckets is paired in many ways.
+    The rows are range-partitioned and sorted by key and a turn within the bucket; so a bucket that is too large for one
+    task lies in several, and is read as a stream in any case. Each row is paired with the ``reach`` rows before it in its
+    bucket and with the first row that its task sees of the bucket: at most reach + 1 pairs a row, whatever the bucket's
+    size. In one of ``spread`` buckets the turn is a hash of key and node, in the others it is the node: so nodes that share
+    many buckets are paired in several ways, but not anew in each bucket.
     Where a bucket goes on in the next task, the tasks' first rows are paired in a second, small step.
     """
-    ordered = rows.select("key", F.xxhash64("key", "node").alias("turn"), "node").repartitionByRange(partitions, "key", "turn").sortWithinPartitions("key", "turn")
+    turn = F.when(F.pmod(F.col("key"), F.lit(spread)) == 0, F.xxhash64("key", "node")).otherwise(F.col("node"))
+    ordered = rows.select("key", turn.alias("turn"), "node").repartitionByRange(partitions, "key", "turn").sortWithinPartitions("key", "turn")
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_heads = None  # of the bucket that the last batch ended in: its first node, and the last two
+        last_key = last_heads = None  # of the bucket that the last batch ended in: its first node, and the last ones
         start = None
 
-        def out(a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
-            key = np.zeros(len(a), np.int64) if key is None else key
-            return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "key": key, "edge": np.full(len(a), len(key) > 0 and bool(key.any()))})
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -49,12 +47,13 @@ def bucket_pairs(rows: DataFrame, partitions: int) -> DataFrame:
             if start is None:
                 start = (key[0], node[0])
             first = node[np.repeat(new, np.diff([*new, len(key)]))]
-            pairs = [(node[step:], node[:-step], key[step:] == key[:-step]) for step in (1, 2)] + [(node, first, node != first)]
+            pairs = [(node[step:], node[:-step], key[step:] == key[:-step]) for step in range(1, reach + 1)] + [(node, first, node != first)]
             a, b = (np.concatenate([x[i][x[2]] for x in pairs]) for i in (0, 1))
             if len(a):
-                yield out(*np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+                a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b, "key": np.zeros(len(a), np.int64), "edge": np.zeros(len(a), bool)})
             run = node[new[-1] :]
-            last_key, last_heads = key[-1], np.concatenate([run[:1], run[1:][-2:]])
+            last_key, last_heads = key[-1], np.concatenate([run[:1], run[1:][-reach:]])
         if start is not None:
             # The first rows of the first and the last bucket of this task, for buckets that lie in several tasks.
             ends = {start, (last_key, last_heads[0])}
@@ -73,17 +72,15 @@ def bucket_pairs(rows: DataFrame, partitions: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, component): the smallest node of its connected component, for every node that has an edge.
 
-    Alternating large-star and small-star steps: each node's neighbours are linked to the smallest of them, until all
-    edges of a component point at its smallest node. Only minima per node are aggregated, and each round is written to
-    the shared folder.
+    Alternating large-star and small-star steps: each node's neighbours are linked to the smallest of them, until every
+    node has one edge, to a node that has none itself: the smallest of its component. Only minima per node are
+    aggregated, and each round is written to the shared folder.
     """
     current = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
     while True:
-        sign = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("b", "a"))).first()
-        if sign == seen or not sign[0]:
+        children = current.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("a").alias("nodes")).first()
+        if children["edges"] == children["nodes"] and current.join(current.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
-        seen = sign
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -91,7 +88,5 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
         current = written(small.filter("a <> b").distinct(), "edges")
-    # One more minimum per node, in case a node still has several edges to equal roots; roots belong to themselves.
-    leaves = current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    roots = leaves.select(F.col("component").alias("node"), "component").distinct()
-    return leaves.unionByName(roots)
+    leaves = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())

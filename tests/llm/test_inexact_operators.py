@@ -40,7 +40,7 @@ def test_bucket_pairs_join_each_bucket(spark, partitions):
     """The pairs of a bucket connect it, also where it lies in several tasks; there are at most three for each row."""
     rng = random.Random(7)
     rows = [(7, i) for i in range(500)] + [(rng.randrange(100, 160), i) for i in range(500, 800)] + [(-(2**63), 1), (2**63 - 1, 1)]
-    pairs = [(r["a"], r["b"]) for r in graph.bucket_pairs(spark.createDataFrame(rows, "key bigint, node bigint"), partitions).collect()]
+    pairs = [(r["a"], r["b"]) for r in graph.bucket_pairs(spark.createDataFrame(rows, "key bigint, node bigint"), partitions, 2).collect()]
     assert all(a < b for a, b in pairs) and len(pairs) == len(set(pairs)) <= 3 * len(rows)
     keys: dict = {}
     for k, n in rows:
@@ -101,11 +101,12 @@ def test_neighbours_of_odd_vectors(spark):
     assert ivf_pq.search(vectors(spark, []), F.col("vec_id") == 0).collect() == []
 
 
-def test_large_cells_are_split(spark, monkeypatch):
-    monkeypatch.setattr(ivf_pq, "CELL_ROWS", 40)
+def test_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ivf_pq, "SHARD_ROWS", 40)
+    monkeypatch.setattr(ivf_pq, "QUERY_ROWS", 3)
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(8).tolist()) for i in range(400)]
-    found = ivf_pq.search(vectors(spark, rows), F.col("vec_id") % 50 == 0, probes=400).collect()
+    found = ivf_pq.search(vectors(spark, rows), F.col("vec_id") % 50 == 0, probe_share=1.0).collect()
     wanted = brute(rows, range(0, 400, 50), 5)
     hits = sum(r["vec_id"] in wanted[r["query_id"]] for r in found)
     assert hits >= 0.95 * 40
