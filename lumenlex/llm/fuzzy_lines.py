@@ -155,13 +155,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
         parts = []
         for rows, numbers, digests, held in each(batch):
             at = pa.array(rows, pa.int64())
-            hashes = [x.tobytes() for x in simhashes(held)]
-            columns = {"doc_id": batch.column(0).take(at), "text_key": batch.column(2).take(at), "line": pa.array(numbers, pa.int64()), "digest": pa.array(digests, pa.binary()), "simhash": pa.array(hashes, pa.binary())}
+            flat = simhashes(held).view(np.int32).reshape(-1)
+            hashes = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BLOCKS), pa.int32()), pa.array(flat, pa.int32()))
+            columns = {"doc_id": batch.column(0).take(at), "text_key": batch.column(2).take(at), "line": pa.array(numbers, pa.int64()), "digest": pa.array(digests, pa.binary()), "simhash": hashes}
             parts.append(pa.RecordBatch.from_pydict(columns))
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("text_key"))
-    return map_arrow(rows, batch_of, "doc_id bigint, text_key bigint, line bigint, digest binary, simhash binary", 250)
+    return map_arrow(rows, batch_of, "doc_id bigint, text_key bigint, line bigint, digest binary, simhash array<int>", 250)
 
 
 def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -185,13 +186,13 @@ def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def similar_lines(docs: DataFrame, lines: DataFrame, bound: float = SIMILARITY) -> DataFrame:
     """Verified pairs (a, b) of the ids in ``lines`` (id, doc_id, text_key, line, simhash)."""
     spark = docs.sparkSession
-    block = lambda i: F.conv(F.hex(F.substring("simhash", 4 * i + 1, 4)), 16, 10).cast("bigint") + F.lit(i << 32)
+    block = lambda i: F.get("simhash", i).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(i << 32)
     keyed = lines.select(F.explode(F.array(*[block(i) for i in range(BLOCKS)])).alias("key"), F.col("id").alias("node"))
     pairs = bucket_pairs(keyed, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    part = lambda name, i: F.conv(F.hex(F.substring(name, 8 * i + 1, 8)), 16, -10).cast("bigint")
-    words = lambda end: lines.select(F.col("id").alias(end), *[part("simhash", i).alias(f"{end}{i}") for i in range(BLOCKS // 2)])
-    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BLOCKS // 2)), F.lit(0))
-    close = written(pairs.join(words("a"), "a").join(words("b"), "b").filter(apart <= MOST_BITS).select("a", "b"), "close")
+    ends = lambda end: lines.select(F.col("id").alias(end), F.col("simhash").alias(f"{end}s"))
+    differ = lambda i: F.get("as", i).bitwiseXOR(F.get("bs", i)).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
+    apart = sum((F.bit_count(differ(i)) for i in range(BLOCKS)), F.lit(0))
+    close = written(pairs.join(ends("a"), "a").join(ends("b"), "b").filter(apart <= MOST_BITS).select("a", "b"), "close")
     involved = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = _lines_at(docs, lines.join(involved, "id").select("id", "doc_id", "text_key", "line"))
     # Rows equal in doc_id and text repeat their lines.
