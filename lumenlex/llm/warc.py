@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlex.llm.common import scratch_path, table
+from lumenlex.llm.common import scratch_path, table, written
 
 RECORDS_PER_FILE = 9000
 #: Payloads of fewer bytes are always stored in full.
@@ -181,9 +181,12 @@ def resolved(found: DataFrame) -> DataFrame:
 
 def op2_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page into archives, read them back and assemble the captures: one row per page."""
-    path = scratch_path(spark, "warc")
+    path, batch = scratch_path(spark, "warc"), "spark.sql.execution.arrow.maxRecordsPerBatch"
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    found = resolved(captures(read_records(spark, path, with_payload=False)))
+    before = spark.conf.get(batch)
+    records = written(read_records(spark, path, with_payload=False), "warc-records")  # parsed once
+    spark.conf.set(batch, before)
+    found = resolved(captures(records))
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return each.select(
         F.col("metadata.page_id").alias("page_id"),
