@@ -55,6 +55,16 @@ class Words:
     def __len__(self) -> int:
         return len(self.word)
 
+    @classmethod
+    def joined(cls, parts: list[Words]) -> Words:
+        """The words of several parts, one after the other; a word in two parts stays in each."""
+        out = cls.__new__(cls)
+        bases = np.cumsum([0, *map(len, parts)])
+        out.of = np.concatenate([part.of + base for part, base in zip(parts, bases, strict=False)])
+        for name in ("counts", "word", "prefix", "length", "gram"):
+            setattr(out, name, np.concatenate([getattr(part, name) for part in parts]))
+        return out
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(windows, WINDOW) of distinct words, -1 past the end, and the text of each window. An empty text has one."""
         n = np.maximum(1, 1 + -(-(self.counts - WINDOW) // STRIDE) * (self.counts > WINDOW))
@@ -161,6 +171,18 @@ class Network:
         return grad, d_gates
 
 
+def _parts(texts: list[str]) -> list[list[str]]:
+    """The texts in their order, in parts of about CHUNK characters."""
+    out, size = [[]], 0
+    for text in texts:
+        if size >= CHUNK:
+            out.append([])
+            size = 0
+        out[-1].append(text)
+        size += len(text)
+    return out
+
+
 def _log_odds(ids: np.ndarray, texts: np.ndarray, labels: np.ndarray, size: int, prior: float = 3.0) -> np.ndarray:
     """Smoothed log odds of the labels for every id, counting each text once."""
     pairs = np.unique(texts * size + ids)
@@ -176,7 +198,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 14, batch: int = 64
     if len(set(labels)) < 2:
         net.p["bo"][:] = -1e9
         return net
-    words = Words([*texts, ""])  # an empty text is not toxic
+    # In parts of bounded size, so that the arrays of characters never hold the whole sample.
+    parts = [Words(part) for part in _parts([*texts, ""])]  # an empty text is not toxic
+    words = Words.joined(parts)
     held_out = np.arange(len(y)) % 5 == 4
     held_out[-1] = False
     word_text = np.repeat(np.arange(len(y)), words.counts)
@@ -195,8 +219,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 14, batch: int = 64
     gram_start = np.cumsum(words.length) - words.length
 
     def all_logits() -> np.ndarray:
-        projected = net.projection(net.inputs(words))
-        return np.concatenate([net.logits(projected, windows[at : at + 4096]) for at in range(0, len(windows), 4096)])
+        return np.concatenate([net.score_windows(part)[0] for part in parts])
 
     def step(chosen: np.ndarray) -> None:
         used, at = np.unique(windows[chosen], return_inverse=True)
@@ -221,8 +244,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 14, batch: int = 64
         for name, g in grad.items():
             seen[name] += g * g
             net.p[name] -= rate * g / np.sqrt(seen[name])
-        parts = {"word": (part.word, d_inputs[:, :WORD_DIM]), "prefix": (part.prefix, d_inputs[:, WORD_DIM : WORD_DIM + PREFIX_DIM]), "gram": (part.gram, np.repeat(d_inputs[:, WORD_DIM + PREFIX_DIM :] / part.length[:, None], part.length, 0))}
-        for name, (ids, g) in parts.items():
+        updates = {"word": (part.word, d_inputs[:, :WORD_DIM]), "prefix": (part.prefix, d_inputs[:, WORD_DIM : WORD_DIM + PREFIX_DIM]), "gram": (part.gram, np.repeat(d_inputs[:, WORD_DIM + PREFIX_DIM :] / part.length[:, None], part.length, 0))}
+        for name, (ids, g) in updates.items():
             unique, where = np.unique(ids, return_inverse=True)
             total = np.zeros((len(unique), g.shape[1]), np.float32)
             np.add.at(total, where, g)
@@ -231,7 +254,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 14, batch: int = 64
 
     for epoch in range(epochs):
         # The window that decides each text, and another one of those that hold no label of their own.
-        scored = all_logits() if epoch else rng.standard_normal(len(windows)) + net.inputs(words)[:, 0].clip(0)[np.maximum(windows, 0)].max(1) * 4 if len(words) else np.zeros(len(windows))
+        scored = all_logits() if epoch else rng.standard_normal(len(windows)) + net.tables["word"][words.word, 0].clip(0)[np.maximum(windows, 0)].max(1) * 4 if len(words) else np.zeros(len(windows))
         order = np.lexsort((-scored, text))
         deciding = order[starts[own]]
         clean = own[y[own] == 0]
