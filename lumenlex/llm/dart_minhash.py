@@ -11,7 +11,8 @@ miss a coordinate throw on to twice the rank.
 
 Signatures are cut into ``BANDS`` bands of ``ROWS`` coordinates; texts that agree in a band are candidates, found by
 sorted neighbours within the bands' buckets (see graph.bucket_pairs), and verified exactly on their whole shingle sets.
-Verified pairs form the classes. Rounds go on, pairing what is still apart in a shared bucket, until one finds no link.
+Verified pairs form the classes. Then all texts that are still apart in a shared bucket are verified with each other
+(see graph.pairs_apart), however crowded it is.
 At similarity 0.8 a pair shares a band with probability 0.9999.
 
 Texts with the same words in the same order are copies: they are grouped by a digest before anything is joined, so groups
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlex.llm.common import map_arrow, table, written
-from lumenlex.llm.graph import bucket_pairs, components, join_checked
+from lumenlex.llm.graph import bucket_pairs_and_crowds, components, join_checked, pairs_apart
 from lumenlex.llm.hashing import Split, mixed, segments, shingles
 
 SHINGLE = 5
@@ -160,35 +161,43 @@ def near_classes(docs: DataFrame, bound: float = SIMILARITY) -> tuple[DataFrame,
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     texts = written(first.select(F.monotonically_increasing_id().alias("id"), "digest", "least", "n", "bands"), "texts")
     keyed = texts.filter("bands IS NOT NULL").select(F.explode("bands").alias("key"), F.col("id").alias("node"))
-    pairs = written(bucket_pairs(keyed, int(spark.conf.get("spark.sql.shuffle.partitions")), spread=4), "candidates")
+    pairs, crowds = bucket_pairs_and_crowds(keyed, int(spark.conf.get("spark.sql.shuffle.partitions")), spread=16)
+    pairs = written(pairs, "candidates")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts.select("id", "digest"), "id")
     cells_of = rows.select("digest", "cells").join(F.broadcast(involved) if involved.count() <= 200_000 else involved, "digest")
     cells_of = written(cells_of.dropDuplicates(["id"]).select("id", "cells"), "cells")
     links = written(similar(pairs, cells_of, bound), "links")
     joined = written(components(links), "components")
-    # Buckets that still hold several components: pair what is apart anew, until that finds no link. A bucket of one
-    # component stays one, so each round only looks at the buckets that the one before left open. All of their rows are
-    # in the first round's pairs, so their cells are at hand.
-    buckets = keyed
-    while True:
-        members = written(joined.select(F.col("node").alias("member"), "component"), "members")
-        placed = join_checked(buckets, members, F.col("node") == F.col("member")).select("key", "node", F.coalesce("component", "node").alias("c"))
-        apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-        open_rows = written(placed.join(apart, "key"), "open")
-        buckets = open_rows.select("key", "node")
-        # Each row of a bucket meets the smallest and largest node of the bucket's lowest and highest component.
-        ends = open_rows.groupBy("key").agg(*[f(F.when(F.col("c") == F.col(e), F.struct("node", "c"))).alias(f"{e}_{n}") for e in ("low", "high") for n, f in (("min", F.min), ("max", F.max))])
-        met = open_rows.join(ends, "key").select("node", "c", F.explode(F.array("low_min", "low_max", "high_min", "high_max")).alias("other"))
-        apart_pairs = met.filter("other.c <> c").select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"))
-        fresh = apart_pairs.distinct()
-        fresh = written(fresh.join(pairs, ["a", "b"], "left_anti"), "candidates")
-        if fresh.isEmpty():
-            break
-        found = written(similar(fresh, cells_of, bound), "links")
-        pairs = pairs.unionByName(fresh)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
+    # What is still apart in a shared bucket meets in full: afterwards no pair that shares a band is untested, unless its
+    # texts are in one class already. All rows of crowded buckets are in the first pairs, so their cells are at hand.
+    held = cells_of.join(texts.select("id", "bands"), "id").select(F.col("id").alias("node"), F.struct("bands", "cells").alias("data"))
+
+    def alike(key: int, data: pa.StructArray):
+        bands = data.field("bands").flatten().to_numpy().reshape(-1, BANDS)
+        each = [np.frombuffer(x.as_buffer(), np.uint32) for x in data.field("cells")]
+        size = np.array([len(x) for x in each])
+        starts = np.cumsum(size) - size
+        distinct, place = np.unique(np.concatenate(each), return_inverse=True)
+        mark = np.zeros(len(distinct), bool)
+
+        def partners(i: int, other: np.ndarray) -> np.ndarray:
+            # A pair that shares several bands is tested in the first of them only; sizes too far apart cannot be similar.
+            ask = bands[i][(bands[other] == bands[i]).argmax(1)] == key
+            ask &= np.minimum(size[other], size[i]) >= bound * np.maximum(size[other], size[i])
+            some = other[ask]
+            if len(some):
+                own = place[starts[i] : starts[i] + size[i]]
+                mark[own] = True
+                shared = np.add.reduceat(mark[place[segments(starts[some], size[some])]].astype(np.int64), np.cumsum(size[some]) - size[some])
+                mark[own] = False
+                ask[ask] = shared >= bound * (size[some] + size[i] - shared) - 1e-9
+            return ask
+
+        return partners
+
+    more = written(pairs_apart(crowds, joined, held, alike, one_each=True), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
         joined = written(components(links), "components")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))

@@ -240,6 +240,26 @@ def test_near_classes_against_all_pairs(spark):
     assert kept.schema == table.schema and sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_near_classes_of_a_crowd(spark, monkeypatch):
+    """Texts of one template, 0.7 similar, share crowded buckets; near copies among them are found all the same."""
+    monkeypatch.setattr(graph, "GROUP_ROWS", 60, raising=False)
+    rng = random.Random(15)
+    template = sentence(rng, 164)
+    texts = [f"{template} {sentence(rng, 36)}" for _ in range(400)]
+    texts += [edited(rng, t, 1) for t in rng.sample(texts, 40)]
+    rng.shuffle(texts)
+    bags = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    leader = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j]):
+            a, b = leader[i], leader[j]
+            leader = [min(a, b) if x in (a, b) else x for x in leader]
+    assert len(set(leader)) == 400
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows, _ = dart_minhash.near_classes(table)
+    assert {r["doc_id"]: r["class_id"] for r in rows.collect()} == dict(enumerate(leader))
+
+
 def test_near_copies_of_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "lone text here"), (2, "other words in this row"), (2, "quite another text")]
     table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, key int")
