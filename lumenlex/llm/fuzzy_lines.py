@@ -1,13 +1,13 @@
 """Line dedup: one occurrence of every group of equal or similar lines stays.
 
 Lines are normalised (lower case, white space collapsed, digits as 0). Equal normalised lines are one line from the start,
-however often they occur. Distinct lines get MinHash sketches, one byte a coordinate, of their words and of the 4-grams of
-their bytes: words survive edits of whole words, 4-grams those of characters. Lines that agree in one of ``WORD_BANDS``
-bands of words or ``GRAM_BANDS`` bands of 4-grams are candidates: first as sorted neighbours within the bands' buckets,
-then all that are still apart in a shared bucket (see graph.bucket_pairs, graph.pairs_apart). Pairs that agree in fewer
-than ``WORD_AGREE`` coordinates of words and ``GRAM_AGREE`` of 4-grams are left, and the rest are verified by the edit
-similarity of the whole normalised lines: 1 - distance / longer length, at least ``SIMILARITY``. Verified pairs form
-groups; the occurrence with the smallest (doc_id, line number) of each group stays.
+however often they occur. Distinct lines get MinHash bands of their pairs of neighbouring words, the line's ends included:
+lines that share one of ``PAIR_BANDS`` bands of ``PAIR_ROWS`` minima are candidates. Lines of at most ``SHORT`` bytes have
+few words, so they get ``GRAM_BANDS`` more, of their 4-grams. Candidates are verified exactly by the edit similarity of
+the whole normalised lines: 1 - distance / longer length, at least ``SIMILARITY``. First the sorted neighbours within the
+bands' buckets are verified, then all pairs that are still apart in a shared bucket, however crowded it is (see
+graph.bucket_pairs, graph.pairs_apart): no candidate is left out. Verified pairs form groups; the occurrence with the
+smallest (doc_id, line number) of each group stays. Why not SimHash blocks: see the README.
 
 Defined results: blank lines are no occurrences and stay; null texts have no lines and stay null; texts are lines
 between newlines, and a text that loses all its lines becomes empty, its row stays; a null doc_id comes after all
@@ -28,22 +28,26 @@ from pyspark.sql import functions as F
 
 from lumenlex.llm.common import map_arrow, table, written
 from lumenlex.llm.graph import bucket_pairs_and_crowds, components, join_checked, pairs_apart
+from lumenlex.llm.hashing import mixed as _mixed64
+from lumenlex.llm.hashing import powers
 
 SIMILARITY = 0.8
-#: Bands and coordinates of a band. Of lines at 0.8 by edits of words about 0.6 of all words are shared: a band of 5 agrees
-#: with probability 0.08, one of 20 with 0.8; from 0.7 of the words on (an edit similarity of about 0.86) it is 0.97.
-WORD_BANDS, WORD_ROWS = 20, 5
-GRAM_BANDS, GRAM_ROWS = 8, 6
-WORDS, GRAMS = WORD_BANDS * WORD_ROWS, GRAM_BANDS * GRAM_ROWS
-#: Coordinates that pairs agree in at least, of WORDS or of GRAMS; pairs at 0.8 by edits of words agree in 50 to 70 words.
-WORD_AGREE, GRAM_AGREE = 40, 14
-GRAM = 4
-#: Characters of lines whose grams are worked on at a time.
+#: Bands and minima of a band. Of lines with a fifth of their words replaced 0.47 of the word pairs are common: one of 12
+#: bands of 3 agrees with probability 0.73; with an eighth replaced it is 0.97. Lines without common text share 0.0003.
+PAIR_BANDS, PAIR_ROWS = 12, 3
+#: Minima of word pairs; each is in two bands, and no two are together in two.
+PAIR_MINIMA = 18
+SHORT = 64
+GRAM, GRAM_BANDS, GRAM_ROWS = 4, 8, 6
+BANDS = PAIR_BANDS + GRAM_BANDS
+#: Characters of lines that are worked on at a time; one longer line makes a longer array.
 CHUNK = 100_000
+#: Pairs of lines with at most so many characters are compared side by side, about so many characters at a time; longer
+#: ones each alone.
+SIDE_BY_SIDE, ABREAST = 1200, 500_000
 
 _zeros = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
-_turns = np.random.default_rng(20).integers(0, 1 << 32, (2, WORDS + GRAMS), np.uint32) | np.uint32(1)
-_letters = np.random.default_rng(21).integers(0, 1 << 32, 64, np.uint32) | np.uint32(1)
+_turns = np.random.default_rng(20).integers(0, 1 << 32, (2, PAIR_MINIMA + GRAM_BANDS * GRAM_ROWS), np.uint32) | np.uint32(1)
 
 
 def normalised(line: str) -> bytes:
@@ -56,41 +60,61 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(15))
 
 
-def sketches(lines: list[bytes]) -> np.ndarray:
-    """(lines, WORDS + GRAMS) bytes: of the least hashes of a line's words, and of its 4-grams."""
-    pad = b"\0" * (GRAM - 1)
-    code = np.frombuffer(b"".join(line.replace(b"\0", b"\1") + pad for line in lines) + pad, np.uint8).astype(np.uint32)
-    n = len(code) - len(pad)
-    inside = code[:n] != 0
-    sizes = np.array([len(line) for line in lines])
-    ends = np.cumsum(sizes + len(pad))
-    gram = np.zeros(n, np.uint32)
-    for k in range(GRAM):
-        gram = gram * np.uint32(0x01000193) + code[k : n + k]
-    letter = inside & (code[:n] != 0x20)
-    starts = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
-    at = np.arange(n)
-    since = np.zeros(n, np.int64)
-    since[starts] = starts
-    place = at - np.maximum.accumulate(since)
-    word = np.add.reduceat(np.where(letter, _mixed(code[:n] + (place.astype(np.uint32) << np.uint32(8))) * _letters[place & 63], np.uint32(0)), starts)
-    out = np.zeros((len(lines), WORDS + GRAMS), np.uint8)
-    for values, first, columns in ((_mixed(word), np.searchsorted(starts, ends - sizes - len(pad)), range(WORDS)), (_mixed(gram[inside]), np.cumsum(sizes) - sizes, range(WORDS, WORDS + GRAMS))):
-        for k in columns:
-            h = values * _turns[0, k] + _turns[1, k]
-            least = np.minimum.reduceat((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D), first)
-            out[:, k] = (least * np.uint32(0x297A2D39)) >> np.uint32(24)
-    return out
+#: The minima of every band.
+PAIR_SETS = [(i, i + 6, i + 12) for i in range(6)] + [(i, (i + 1) % 6 + 6, (i + 2) % 6 + 12) for i in range(6)]
+GRAM_SETS = [tuple(range(PAIR_MINIMA + i * GRAM_ROWS, PAIR_MINIMA + (i + 1) * GRAM_ROWS)) for i in range(GRAM_BANDS)]
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Do the sketches agree in so many coordinates that the lines may be similar?"""
-    equal = a == b
-    return (equal[:, :WORDS].sum(1) >= WORD_AGREE) | (equal[:, WORDS:].sum(1) >= GRAM_AGREE)
+def _bands(values: np.ndarray, first: np.ndarray, sets: list[tuple[int, ...]]) -> np.ndarray:
+    """(lines, bands) hashes of the minima of each line's values, which start at ``first``."""
+    minima = {}
+    for k in sorted({k for band in sets for k in band}):
+        h = values * _turns[0, k] + _turns[1, k]
+        minima[k] = np.minimum.reduceat((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D), first)
+    out = np.zeros((len(first), len(sets)), np.uint32)
+    for at, band in enumerate(sets):
+        for k in band:
+            out[:, at] = _mixed(out[:, at] * np.uint32(0x01000193) + minima[k])
+    return out.view(np.int32)
 
 
-def _sketch_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WORDS + GRAMS)
+def bands_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bands of all lines (not empty, without white space around) one after the other, and where each line's end.
+
+    Every line has PAIR_BANDS of word pairs, short ones GRAM_BANDS more.
+    """
+    sizes = np.array([len(line) for line in lines])
+    code = np.frombuffer(b" " + b" ".join(lines) + b" ", np.uint8)
+    begin = np.cumsum(sizes + 1) - sizes
+    gaps = np.flatnonzero(code == 0x20)
+    starts, ends = gaps[:-1] + 1, gaps[1:]
+    # A word's hash follows from the sums of its bytes times powers.
+    forward, back = powers(len(code))
+    summed = np.cumsum((code + np.uint64(1)) * forward, dtype=np.uint64)
+    word = (_mixed64((summed[ends - 1] - summed[starts - 1]) * back[starts]) >> np.uint64(32)).astype(np.uint32)
+    # Each word follows another one, or the line's start; the line's end follows its last word.
+    first = np.searchsorted(starts, begin)
+    after = np.append(first[1:], len(word))
+    before = np.concatenate([[np.uint32(0)], word[:-1]])
+    before[first] = 0x51ED27
+    pairs = np.insert(_mixed(before) * np.uint32(0x01000193) + word, after, _mixed(word[after - 1]) + np.uint32(1))
+    out = _bands(_mixed(pairs), first + np.arange(len(lines)), PAIR_SETS)
+    short = np.flatnonzero(sizes <= SHORT)
+    counts = np.full(len(lines), PAIR_BANDS)
+    counts[short] = BANDS
+    flat = np.zeros(counts.sum(), np.int32)
+    offsets = np.cumsum(counts) - counts
+    flat[offsets[:, None] + np.arange(PAIR_BANDS)] = out
+    if len(short):
+        pad = b"\0" * (GRAM - 1)
+        code = np.frombuffer(b"".join(lines[i].replace(b"\0", b"\1") + pad for i in short) + pad, np.uint8).astype(np.uint32)
+        inside = code[: -len(pad)] != 0
+        gram = np.zeros(len(inside), np.uint32)
+        for k in range(GRAM):
+            gram = gram * np.uint32(0x01000193) + code[k : len(inside) + k]
+        more = _bands(_mixed(gram[inside]), np.cumsum(sizes[short]) - sizes[short], GRAM_SETS)
+        flat[offsets[short][:, None] + np.arange(PAIR_BANDS, BANDS)] = more
+    return flat, offsets + counts
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -133,21 +157,108 @@ def distance(a: str, b: str, most: int) -> int:
     return score
 
 
-def edit_similar(a: str, b: str, bound: float = SIMILARITY) -> bool:
-    """Is 1 - distance / longer length at least ``bound``? Decided exactly.
+def distances(left: list[str], right: list[str]) -> np.ndarray:
+    """The edit distances of many pairs of texts, exactly, in one pass over all of them side by side.
 
-    Where both lines have as many words, replacing the words that differ is one way to get from one to the other; if that
-    is cheap enough already, the distance is not needed.
+    A column of the table of distances is kept as its vertical differences, a bit each, in words of 64 rows; the
+    horizontal differences at a word's end go on to the next word. A distance is the number of steps plus the vertical
+    differences of the last column. So that all pairs take as many steps, both texts of a pair get the same filling at
+    their ends, which changes no distance.
     """
-    most = int((1 - bound) * max(len(a), len(b)) + 1e-9)
-    p, q = a.split(" "), b.split(" ")
-    if len(p) == len(q) and sum([max(len(x), len(y)) for x, y in zip(p, q, strict=True) if x != y]) <= most:
-        return True
-    return distance(a, b, most) <= most
+    steps = max(1, *map(len, left))
+    fill = ["\udffe" * (steps - len(x)) for x in left]
+    sizes = np.array([len(y) + len(z) for y, z in zip(right, fill, strict=True)])
+    words, n = int(sizes.max()) // 64 + 1, len(left)
+    texts = [*((y + z).ljust(words * 64, "\udfff") for y, z in zip(right, fill, strict=True)), *(x + z for x, z in zip(left, fill, strict=True))]
+    known, codes = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    codes = codes.astype(np.uint8 if len(known) < 256 else np.uint32)
+    rows, steps_of = codes[: n * words * 64].reshape(n, -1), codes[n * words * 64 :].reshape(n, -1).T.astype(np.int64)
+    packed = lambda bits: np.packbits(bits, axis=1, bitorder="little").view(np.uint64).T
+    where = np.empty((words, len(known), n), np.uint64)
+    for c in range(len(known)):
+        where[:, c] = packed(rows == c)
+    where = where.reshape(words, -1)
+    one, last = np.uint64(1), np.uint64(63)
+    plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    zero, ones, pair = np.zeros(n, np.uint64), np.ones(n, np.uint64), np.arange(n)
+    for step in steps_of:
+        here = where.take(step * n + pair, axis=1)
+        more, less = ones, zero  # the differences along the row above: each step costs 1
+        for w in range(words):
+            equal, p, m = here[w], plus[w], minus[w]
+            vertical = equal | m
+            equal = equal | less
+            horizontal = (((equal & p) + p) ^ p) | equal
+            up, down = m | ~(horizontal | p), p & horizontal
+            next_more, next_less = up >> last, down >> last
+            up, down = up << one | more, down << one | less
+            plus[w], minus[w] = down | ~(vertical | up), up & vertical
+            more, less = next_more, next_less
+    inside = packed(np.arange(words * 64) < sizes[:, None])
+    return steps + (np.bitwise_count(plus & inside).sum(0, dtype=np.int64) - np.bitwise_count(minus & inside).sum(0, dtype=np.int64))
+
+
+def allowed(longest, bound: float = SIMILARITY):
+    """The largest distance at which lines, the longer of ``longest`` characters, are similar."""
+    return np.floor((1 - bound) * longest + 1e-9)
+
+
+#: Words that are skipped at most, on both sides together, to find where two lines go on alike.
+SKIPPED = 8
+
+
+def surely_similar(a: str, b: str, most: int) -> bool:
+    """Is one way from a to b cheap enough? Where words differ, those up to the next equal ones are replaced."""
+    p, q, i, j, cost = a.split(" "), b.split(" "), 0, 0, 0
+    while i < len(p) and j < len(q):
+        if p[i] == q[j]:
+            i += 1
+            j += 1
+            continue
+        for skipped in range(1, SKIPPED + 1):
+            step = next((x for x in range(skipped + 1) if i + x < len(p) and j + skipped - x < len(q) and p[i + x] == q[j + skipped - x]), None)
+            if step is not None:
+                break
+        else:
+            step, skipped = 1, 2
+        cost += max(sum(map(len, p[i : i + step])) + step, sum(map(len, q[j : j + skipped - step])) + skipped - step)
+        if cost > most:
+            return False
+        i, j = i + step, j + skipped - step
+    return cost + sum(map(len, p[i:])) + len(p) - i + sum(map(len, q[j:])) + len(q) - j <= most
+
+
+def similar_pairs(left: list[str], right: list[str], bound: float = SIMILARITY) -> np.ndarray:
+    """Which pairs are similar, 1 - distance / longer length being at least ``bound``? Decided exactly."""
+    out, open_pairs = np.zeros(len(left), bool), []
+    for i, (a, b) in enumerate(zip(left, right, strict=True)):
+        most = int(allowed(max(len(a), len(b)), bound))
+        if abs(len(a) - len(b)) > most:
+            continue
+        if surely_similar(a, b, most):
+            out[i] = True
+        elif max(len(a), len(b)) > SIDE_BY_SIDE:
+            out[i] = distance(a, b, most) <= most
+        else:
+            open_pairs.append((len(a), i))
+    open_pairs.sort()
+    at = 0
+    while at < len(open_pairs):
+        end, size = at, 0
+        while end < len(open_pairs) and (end == at or size <= ABREAST):
+            size += open_pairs[end][0]
+            end += 1
+        chosen = [i for _, i in open_pairs[at:end]]
+        a, b = [left[i] for i in chosen], [right[i] for i in chosen]
+        most = allowed(np.maximum([len(x) for x in a], [len(x) for x in b]), bound)
+        # A few pairs are faster each alone.
+        out[chosen] = distances(a, b) <= most if len(a) >= 100 else [distance(x, y, int(n)) <= n for x, y, n in zip(a, b, most, strict=True)]
+        at = end
+    return out
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line (its number), digest (16 bytes of the normalised line), sketch of every line that is not blank."""
+    """doc_id, text_key, line (its number), digest (16 bytes of the normalised line), bands of every line that is not blank."""
 
     def each(batch: pa.RecordBatch) -> Iterator[tuple[list, list, list, list, list]]:
         rows, numbers, digests, held, size = [], [], [], [], 0
@@ -170,20 +281,22 @@ def occurrences(docs: DataFrame) -> DataFrame:
         parts = []
         for rows, numbers, digests, held in each(batch):
             at = pa.array(rows, pa.int64())
-            sketch = pa.array([row.tobytes() for row in sketches(held)], pa.binary())
-            columns = {"doc_id": batch.column(0).take(at), "text_key": batch.column(2).take(at), "line": pa.array(numbers, pa.int64()), "digest": pa.array(digests, pa.binary()), "sketch": sketch}
+            flat, ends = bands_of(held)
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
+            columns = {"doc_id": batch.column(0).take(at), "text_key": batch.column(2).take(at), "line": pa.array(numbers, pa.int32()), "digest": pa.array(digests, pa.binary()), "bands": bands}
             parts.append(pa.RecordBatch.from_pydict(columns))
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("text_key"))
-    return map_arrow(rows, batch_of, "doc_id bigint, text_key bigint, line bigint, digest binary, sketch binary", 250)
+    return map_arrow(rows, batch_of, "doc_id bigint, text_key bigint, line int, digest binary, bands array<int>", 250)
 
 
 def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The normalised lines at (id, doc_id, text_key, line): id, text."""
     per_text = written(wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "wanted")
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).alias("d")
-    found = join_checked(keyed, per_text.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key")), "inner")
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key"))
+    found = join_checked(keyed, per_text.alias("w"), same, "inner", items="wanted")
 
     def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, texts = [], []
@@ -198,52 +311,60 @@ def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar_lines(docs: DataFrame, lines: DataFrame, bound: float = SIMILARITY) -> DataFrame:
-    """Verified pairs (a, b) of the ids in ``lines`` (id, doc_id, text_key, line, sketch)."""
+    """Verified pairs (a, b) of the ids in ``lines`` (id, doc_id, text_key, line, bands), as many as connect all that share a band."""
     spark = docs.sparkSession
-    bands = [(i * WORD_ROWS, WORD_ROWS) for i in range(WORD_BANDS)] + [(WORDS + i * GRAM_ROWS, GRAM_ROWS) for i in range(GRAM_BANDS)]
-    band = lambda i, at, n: F.xxhash64(F.substring("sketch", at + 1, n), F.lit(i))
-    keyed = lines.select(F.explode(F.array(*[band(i, *x) for i, x in enumerate(bands)])).alias("key"), F.col("id").alias("node"))
+    placed = lines.select(F.posexplode("bands").alias("place", "band"), F.col("id").alias("node"))
+    keyed = placed.select((F.shiftleft(F.col("place").cast("bigint"), 32) + F.col("band")).alias("key"), "node")
     pairs, crowds = bucket_pairs_and_crowds(keyed, int(spark.conf.get("spark.sql.shuffle.partitions")), spread=16)
-    ends = lambda end: lines.select(F.col("id").alias(end), F.col("sketch").alias(f"{end}s"))
+    pairs = written(pairs, "candidates")
+    # All rows of crowded buckets are in the first pairs.
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = _lines_at(docs, lines.join(involved, "id").select("id", "doc_id", "text_key", "line"))
+    # Rows equal in doc_id and text repeat their lines.
+    texts = written(texts.groupBy("id").agg(F.first("text").alias("text")), "line-texts")
+    links = written(verified(pairs, texts, bound), "links")
 
-    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.select([0, 1]).filter(pa.array(alike(_sketch_rows(batch.column(2)), _sketch_rows(batch.column(3)))))
+    def test(key: int, data: pa.StructArray):
+        size = np.array([len(text) for text in data.field("text").to_pylist()])
+        bands = np.repeat(-1 - np.arange(len(size), dtype=np.int64)[:, None] << 32, BANDS, 1)  # absent ones equal no other
+        for i, row in enumerate(data.field("bands").to_pylist()):
+            bands[i, : len(row)] = row
+        place = key + (1 << 31) >> 32
 
-    both = pairs.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "as", "bs")
-    first = written(map_arrow(both, near, "a bigint, b bigint"), "close")
-    links = written(verified(docs, lines, first, bound), "links")
+        def partners(i: int, other: np.ndarray) -> np.ndarray:
+            # A pair that shares several bands is tested in the first of them only.
+            ask = np.abs(size[other] - size[i]) <= allowed(np.maximum(size[other], size[i]), bound)
+            ask[ask] = ~(bands[other[ask], :place] == bands[i, :place]).any(1)
+            return ask
 
-    def test(key: int, data: pa.StructArray):
-        sketch = _sketch_rows(data.field("sketch"))
-        return lambda i, other: alike(sketch[other], sketch[i : i + 1])
+        return partners
 
-    held = lines.select(F.col("id").alias("node"), F.struct("sketch").alias("data"))
-    rest = written(pairs_apart(crowds, components(links), held, test).join(first, ["a", "b"], "left_anti"), "close")
-    return links if rest.isEmpty() else links.unionByName(written(verified(docs, lines, rest, bound), "links"))
+    data = texts.join(lines.select("id", "bands"), "id").select(F.col("id").alias("node"), F.struct("bands", "text").alias("data"))
+    rest = written(pairs_apart(crowds, components(links), data, test, one_each=True, confirm=("text", lambda a, b: similar_pairs(a, b, bound))), "links")
+    return links if rest.isEmpty() else links.unionByName(rest)
 
 
-def verified(docs: DataFrame, lines: DataFrame, close: DataFrame, bound: float) -> DataFrame:
-    """The pairs (a, b) of ``close`` whose lines are similar, by their edit distance."""
-    involved = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = _lines_at(docs, lines.join(involved, "id").select("id", "doc_id", "text_key", "line"))
-    # Rows equal in doc_id and text repeat their lines.
-    texts = written(texts.groupBy("id").agg(F.first("text").alias("text")), "line-texts")
-    both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+def verified(close: DataFrame, texts: DataFrame, bound: float) -> DataFrame:
+    """The pairs (a, b) of ``close`` whose lines, in ``texts`` (id, text), are similar by their edit distance."""
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    both = close.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    both = both.filter(F.abs(F.length("x") - F.length("y")) <= F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - bound) + 1e-9))
 
     def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [edit_similar(x.as_py(), y.as_py(), bound) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        keep = similar_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), bound)
         return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(both.select("a", "b", "x", "y"), batch_of, "a bigint, b bigint", 500)
+    return map_arrow(both, batch_of, "a bigint, b bigint", 1000)
 
 
 def dropped_lines(docs: DataFrame, bound: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key, lines: the numbers of the lines that go, for the texts that lose some."""
     every = written(occurrences(docs), "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "line")
-    grouped = every.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("sketch").alias("sketch"))
-    lines = written(grouped.select(F.monotonically_increasing_id().alias("id"), "digest", "first", "n", "sketch"), "lines")
-    links = similar_lines(docs, lines.select("id", "first.doc_id", "first.text_key", "first.line", "sketch"), bound)
+    grouped = every.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    lines = written(grouped.select(F.monotonically_increasing_id().alias("id"), "digest", "first", "n", "bands"), "lines")
+    links = similar_lines(docs, lines.select("id", "first.doc_id", "first.text_key", "first.line", "bands"), bound)
     joined = written(components(links).withColumnRenamed("node", "id"), "line-groups")
     named = join_checked(lines.select("id", "digest", "first", "n"), joined, "id").withColumn("component", F.coalesce("component", "id"))
     groups = named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("size")).filter("size > 1")
@@ -253,24 +374,24 @@ def dropped_lines(docs: DataFrame, bound: float = SIMILARITY) -> DataFrame:
 
 
 def with_clean_text(docs: DataFrame, bound: float = SIMILARITY) -> DataFrame:
-    """``docs`` with __clean (the text without the lines that go) and __gone (how many they are)."""
+    """row (struct of all columns of ``docs``), clean (the text without the lines that go) and gone (how many they are)."""
     gone = written(dropped_lines(docs, bound), "gone").alias("x")
-    keyed = docs.withColumn("__key", F.xxhash64("text")).alias("d")
-    found = join_checked(keyed, gone, F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("x.doc_id")) & (F.col("d.__key") == F.col("x.text_key")))
-    kept = F.filter(F.split("d.text", "\n"), lambda line, at: ~F.array_contains("x.gone", at.cast("bigint")))
-    clean = F.when(F.col("x.gone").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n"))
-    return found.select("d.*", clean.alias("__clean"), F.coalesce(F.size("x.gone"), F.lit(0)).alias("__gone")).drop("__key")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("x.doc_id")) & (F.xxhash64("row.text") == F.col("x.text_key"))
+    found = join_checked(keyed, gone, same, items="gone")
+    kept = F.filter(F.split("row.text", "\n"), lambda line, at: ~F.array_contains("x.gone", at))
+    clean = F.when(F.col("x.gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return found.select("row", clean.alias("clean"), F.coalesce(F.size("x.gone"), F.lit(0)).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, bound: float = SIMILARITY) -> DataFrame:
     """``docs`` with the same columns and rows, their texts without repeated lines; n_chars follows the text."""
-    found = with_clean_text(docs, bound)
-    columns = {"text": F.col("__clean")} | ({"n_chars": F.length("__clean").cast("bigint")} if "n_chars" in docs.columns else {})
-    return found.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+    columns = {"text": F.col("clean")} | ({"n_chars": F.length("clean").cast("bigint")} if "n_chars" in docs.columns else {})
+    return with_clean_text(docs, bound).select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, its lines in number, those that go, and the text that is left."""
     found = with_clean_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    lines = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"(?U)\S")))), F.lit(0))
-    return found.select("doc_id", lines.cast("bigint").alias("n_lines"), F.col("__gone").cast("bigint").alias("n_removed"), F.col("__clean").alias("clean_text"))
+    lines = F.coalesce(F.size(F.filter(F.split("row.text", "\n"), lambda x: F.rlike(x, F.lit(r"(?U)\S")))), F.lit(0))
+    return found.select("row.doc_id", lines.cast("bigint").alias("n_lines"), F.col("gone").cast("bigint").alias("n_removed"), F.col("clean").alias("clean_text"))

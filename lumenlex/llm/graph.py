@@ -17,9 +17,13 @@ BROADCAST_ROWS = 400_000
 GROUP_ROWS = 500
 
 
-def join_checked(large: DataFrame, small: DataFrame, on, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with ``small``, a written table of narrow rows, broadcasting it only if it was counted to be small."""
-    return large.join(F.broadcast(small) if small.count() <= most else small, on, how)
+def join_checked(large: DataFrame, small: DataFrame, on, how: str = "left", most: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
+    """Join with ``small``, a written table of narrow rows, broadcasting it only if it was counted to be small.
+
+    ``items``: an array column of ``small``, whose entries count as rows each.
+    """
+    rows = small.agg(F.sum(F.size(items) + 1)).first()[0] or 0 if items else small.count()
+    return large.join(F.broadcast(small) if rows <= most else small, on, how)
 
 
 def bucket_pairs(rows: DataFrame, partitions: int, reach: int = 1, spread: int = 1) -> DataFrame:
@@ -39,7 +43,7 @@ def bucket_pairs_and_crowds(rows: DataFrame, partitions: int, reach: int = 1, sp
     each bucket, and are all there are in a bucket of two; ``pairs_apart`` finds what they leave in the others.
     """
     turn = F.when(F.pmod(F.col("key"), F.lit(spread)) == 0, F.xxhash64("key", "node")).otherwise(F.col("node"))
-    ordered = rows.select("key", turn.alias("turn"), "node").repartitionByRange(partitions, "key", "turn").sortWithinPartitions("key", "turn")
+    ordered = rows.select("key", "node").repartitionByRange(partitions, "key", turn).sortWithinPartitions("key", turn)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_heads = None  # of the bucket that the last batch ended in: its first node, and the last ones
@@ -48,7 +52,7 @@ def bucket_pairs_and_crowds(rows: DataFrame, partitions: int, reach: int = 1, sp
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node, carried = batch.column(0).to_numpy(), batch.column(2).to_numpy(), 0
+            key, node, carried = batch.column(0).to_numpy(), batch.column(1).to_numpy(), 0
             if last_key is not None and key[0] == last_key:
                 key, node = np.concatenate([np.full(len(last_heads), last_key), key]), np.concatenate([last_heads, node])
                 carried = len(last_heads)
@@ -75,7 +79,6 @@ def bucket_pairs_and_crowds(rows: DataFrame, partitions: int, reach: int = 1, sp
             keys, nodes = np.array([k for k, _ in ends]), np.array([n for _, n in ends])
             yield pa.RecordBatch.from_pydict({"a": nodes, "b": nodes, "key": keys, "kind": np.ones(len(keys), np.int64)})
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     found = written(ordered.mapInArrow(paired, "a bigint, b bigint, key bigint, kind bigint"), "pairs")
     inside = found.filter("kind = 0").select("a", "b")
     ends = found.filter("kind = 1").select("key", "a")
@@ -84,14 +87,18 @@ def bucket_pairs_and_crowds(rows: DataFrame, partitions: int, reach: int = 1, sp
     return inside.unionByName(across).distinct(), found.filter("kind = 2").select("key", F.col("a").alias("node"))
 
 
-def pairs_apart(crowds: DataFrame, joined: DataFrame, data: DataFrame, test: Callable[[int, pa.StructArray], Callable[[int, np.ndarray], np.ndarray]], one_each: bool = False) -> DataFrame:
+def pairs_apart(
+    crowds: DataFrame, joined: DataFrame, data: DataFrame, test: Callable[[int, pa.StructArray], Callable[[int, np.ndarray], np.ndarray]], one_each: bool = False, confirm: tuple[str, Callable[[list, list], np.ndarray]] | None = None
+) -> DataFrame:
     """Pairs (a, b), a < b, that share a bucket, lie in different components and pass ``test``: all that there are.
 
     ``crowds``: rows (key, node); ``joined``: (node, component) of the nodes that have one; ``data``: (node, data struct).
-    ``test(key, data)`` takes what the rows of a bucket hold, and returns a function from a row's place and
-    those of others to a mask of the others that it is to be paired with. No pair is left out for the bucket's size: a bucket of n rows is cut into groups of
-    ``GROUP_ROWS``, and each two groups meet in a row of their own. With ``one_each``, of a row's partners in one
-    component only one is returned; that is enough where ``test`` is all that a link needs.
+    ``test(key, data)`` takes what the rows of a bucket hold, and returns a function from a row's place and those of
+    others to a mask of the others that it is to be paired with. ``confirm``, a field of the data and a function from its
+    values in many pairs to a mask of them, tests what is left for many buckets at a time. No pair is left out for the
+    bucket's size: a bucket of n rows is cut into groups of ``GROUP_ROWS``, and each two groups meet in a row of their
+    own. With ``one_each``, of a row's partners in one component only one is returned; that is enough where the tests are
+    all that a link needs.
     """
     members = written(joined.select("node", "component"), "members")
     placed = written(join_checked(crowds, members, "node").select("key", "node", F.coalesce("component", "node").alias("c")), "crowds")
@@ -104,22 +111,31 @@ def pairs_apart(crowds: DataFrame, joined: DataFrame, data: DataFrame, test: Cal
     met = rows.groupBy("key", "meet").agg(F.collect_list(F.struct("node", "c", "part", "data")).alias("rows")).filter(F.size("rows") > 1)
 
     def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for key, one, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        found, values = [np.zeros((5, 0), np.int64)], ([], [])
+        for at, (key, one, held) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
             held = held.values
             node, c, part = (held.field(x).to_numpy() for x in ("node", "c", "part"))
             partners = test(key, held.field("data"))
+            pairs = [np.zeros((2, 0), np.int64)]
             for i in range(len(node)):
                 # Each pair once: from the smaller node, or from the first of two different groups.
                 mask = (c != c[i]) & ((node > node[i]) if one else (part > part[i]))
                 other = np.flatnonzero(mask)
                 if len(other):
                     other = other[partners(i, other)]
-                    if one_each and len(other):
-                        other = other[np.unique(c[other], return_index=True)[1]]
-                    left.append(np.minimum(node[i], node[other]))
-                    right.append(np.maximum(node[i], node[other]))
-        return pa.RecordBatch.from_pydict({"a": np.concatenate(left), "b": np.concatenate(right)})
+                    pairs.append(np.stack([np.full(len(other), i), other]))
+            p, q = np.concatenate(pairs, 1)
+            found.append(np.stack([node[p], node[q], c[q], p, np.full(len(p), at)]))
+            if confirm:
+                of = held.field("data").field(confirm[0]).to_pylist()
+                for side, places in zip(values, (p, q), strict=True):
+                    side += [of[i] for i in places]
+        found = np.concatenate(found, 1)
+        if confirm and found.shape[1]:
+            found = found[:, confirm[1](*values)]
+        if one_each and found.shape[1]:
+            found = found[:, np.unique(found[[4, 3, 2]], axis=1, return_index=True)[1]]
+        return pa.RecordBatch.from_pydict({"a": np.minimum(found[0], found[1]), "b": np.maximum(found[0], found[1])})
 
     return map_arrow(met.select("key", F.expr("meet.lo = meet.hi").alias("one"), "rows"), batch_of, "a bigint, b bigint", 50).distinct()
 

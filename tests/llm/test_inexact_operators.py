@@ -291,6 +291,43 @@ def test_edit_distance():
         assert fuzzy_lines.distance(a, b, most) == min(plain_distance(a, b), most + 1) or plain_distance(a, b) > most < fuzzy_lines.distance(a, b, most)
 
 
+def test_edit_distances_side_by_side():
+    rng = random.Random(16)
+    text = lambda most: "".join(rng.choice("ab cé𝒳") for _ in range(rng.randint(0, most)))
+    for most in (1, 14, 90):
+        a, b = [text(most) for _ in range(120)], [text(most) for _ in range(120)]
+        wanted = [plain_distance(x, y) for x, y in zip(a, b, strict=True)]
+        assert fuzzy_lines.distances(a, b).tolist() == wanted
+        near = [1 - d / max(len(x), len(y), 1) >= 0.8 - 1e-9 for d, x, y in zip(wanted, a, b, strict=True)]
+        assert fuzzy_lines.similar_pairs(a, b).tolist() == near
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(17)
+    line = sentence(rng, 12_000)
+    table = spark.createDataFrame([(1, line), (2, line[:30_000] + "x" * 400 + line[30_400:]), (3, sentence(rng, 12_000)), (4, "a" * 50_000)], "doc_id bigint, text string")
+    left = {r["doc_id"]: len(r["text"]) for r in fuzzy_lines.deduplicated(table).collect()}
+    assert left[1] == len(line) and left[2] == 0 and left[3] > 0 and left[4] == 50_000
+
+
+def test_lines_in_crowds_against_all_pairs(spark, monkeypatch):
+    """Lines that share a passage fill the same buckets; those that are similar are found at any place among them."""
+    monkeypatch.setattr(graph, "GROUP_ROWS", 40)
+    rng = random.Random(18)
+    passage = sentence(rng, 30)
+    lines = [f"{passage} {sentence(rng, 25)}" for _ in range(150)]
+    lines += [" ".join([*x.split()[:-2], sentence(rng, 2)]) for x in rng.sample(lines, 30)]
+    rng.shuffle(lines)
+    leader = list(range(len(lines)))
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        if fuzzy_lines.distance(lines[i], lines[j], 999) <= 0.2 * max(len(lines[i]), len(lines[j])):
+            a, b = leader[i], leader[j]
+            leader = [min(a, b) if x in (a, b) else x for x in leader]
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    left = {r["doc_id"] for r in fuzzy_lines.deduplicated(table).collect() if r["text"]}
+    assert left == set(leader) and len(left) <= 150
+
+
 def test_repeated_lines_go(spark):
     rng = random.Random(12)
     line = sentence(rng, 40)
