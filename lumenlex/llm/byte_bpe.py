@@ -3,8 +3,9 @@
 The rank file of a byte-level vocabulary is turned into a sentencepiece BPE model: every token's bytes are mapped to
 printable characters, its score is its negative rank, and normalisation is the identity. sentencepiece then merges the
 adjacent pair of highest score (the lowest rank) first, leftmost on ties, which is what byte-pair encoding by ranks does.
-Texts are cut by the vocabulary's pattern and each distinct piece of a batch is encoded once. Decoding maps the pieces'
-characters back to bytes; it works id by id, so the decoding of a piece is remembered with its ids.
+Texts are cut by the vocabulary's pattern and each distinct piece of a text is encoded once, or not at all if it is
+remembered. Decoding maps the pieces' characters back to bytes; it works id by id, so a piece is decoded when it is
+encoded, and what is remembered is whether that gave anything but the piece.
 
 Defined results: null and empty texts have no tokens (n_tokens 0, the digests are those of empty bytes); rows are
 independent, so repeated rows and repeated doc_id give repeated results and a null doc_id stays null; an empty table
@@ -20,6 +21,7 @@ import re
 import struct
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -29,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenlex.llm.common import map_arrow, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Distinct pieces whose encoding a worker remembers; the memory starts anew beyond it.
-REMEMBERED = 400_000
+#: Characters of distinct pieces, and of their ids in decimals, that a worker remembers; the memory starts anew beyond it.
+REMEMBERED = 3_000_000
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -126,9 +128,11 @@ class ByteBpe:
         self.to_characters = dict(enumerate(characters))
         to_byte = {c: b for b, c in enumerate(characters)}
         self.bytes_of = {rank: bytes(to_byte[c] for c in self.processor.id_to_piece(at)) for at, rank in enumerate(rank_of)}
-        self.text_of = {rank: str(rank) for rank in rank_of}
-        #: piece -> its ids, their decimal text, and the bytes that they decode to
-        self.known: dict[str, tuple[list[int], str, bytes]] = {}
+        #: piece -> the decimals of its ids, joined by commas
+        self.known: dict[str, str] = {}
+        #: piece -> what its ids decode to, where that is anything but the piece
+        self.other: dict[str, bytes] = {}
+        self.size = 0
 
     def mapped(self, piece: str) -> str:
         if piece.isascii() and piece.isprintable():
@@ -143,18 +147,26 @@ class ByteBpe:
         for piece, ids in chain(((p, [r]) for p, r in whole.items()), zip(rest, encoded, strict=True)):
             if self.rank_of and piece not in whole:
                 ids = [*map(self.rank_of.__getitem__, ids)]
-            self.known[piece] = (ids, ",".join(map(self.text_of.__getitem__, ids)), self.decode(ids))
-
-    def pieces(self, texts: list[str]) -> list[list[tuple[list[int], str, bytes]]]:
-        cut = [self.cut(text) for text in texts]
-        found = set().union(*cut)
-        if len(self.known) + len(found) > REMEMBERED:
-            self.known.clear()
-        self.learn(found.difference(self.known))
-        return [[*map(self.known.__getitem__, x)] for x in cut]
+            self.known[piece] = text = ",".join(map(str, ids))
+            self.size += len(piece) + len(text)
+            if (decoded := self.decode(ids)) != piece.encode():
+                self.other[piece] = decoded
+
+    def pieces(self, text: str) -> tuple[str, bytes]:
+        """The ids of a text, joined by commas, and the bytes that they decode to."""
+        cut = self.cut(text)
+        found = set(cut).difference(self.known)
+        if found:
+            if self.size > REMEMBERED:
+                self.known, self.other, self.size, found = {}, {}, 0, set(cut)
+            self.learn(found)
+        ids = ",".join([self.known[piece] for piece in cut])
+        if not self.other:
+            return ids, "".join(cut).encode()
+        return ids, b"".join([self.other.get(piece) or piece.encode() for piece in cut])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[*chain.from_iterable([x[0] for x in pieces])] for pieces in self.pieces(texts)]
+        return [[*map(int, ids.split(","))] if ids else [] for ids, _ in map(self.pieces, texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -179,30 +191,21 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, with_ids: bool = T
 
     def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = coder(path)
-        texts = [text or "" for text in batch.column(1).to_pylist()]
         counts, ids_digest, decoded_digest, kept = [], [], [], []
-        for at in range(0, len(texts), 100):
-            for pieces in bpe.pieces(texts[at : at + 100]):
-                ids = ",".join([x[1] for x in pieces])
-                counts.append(ids.count(",") + 1 if ids else 0)
-                ids_digest.append(hashlib.sha256(ids.encode()).hexdigest())
-                decoded_digest.append(hashlib.sha256(b"".join([x[2] for x in pieces])).hexdigest())
-                if with_ids:
-                    kept.append(pa.array(chain.from_iterable([x[0] for x in pieces]), pa.int32()))
+        for value in batch.column(1):
+            ids, decoded = bpe.pieces(value.as_py() or "")
+            counts.append(ids.count(",") + 1 if ids else 0)
+            ids_digest.append(hashlib.sha256(ids.encode()).hexdigest())
+            decoded_digest.append(hashlib.sha256(decoded).hexdigest())
+            if with_ids:
+                kept.append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
         columns = {"doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": ids_digest, "decoded_sha256": decoded_digest}
         if with_ids:
-            ends = pa.array([0, *_running(counts)], pa.int32())
-            columns["token_ids"] = pa.ListArray.from_arrays(ends, pa.concat_arrays(kept) if kept else pa.array([], pa.int32()))
+            ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+            columns["token_ids"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(kept)))
         return pa.RecordBatch.from_pydict(columns)
 
-    return map_arrow(docs.select(docs["doc_id"].cast("bigint"), docs["text"]), batch_of, SCHEMA + (", token_ids array<int>" if with_ids else ""), 500)
-
-
-def _running(counts: list[int]) -> list[int]:
-    total, out = 0, []
-    for n in counts:
-        out.append(total := total + n)
-    return out
+    return map_arrow(docs.select(docs["doc_id"].cast("bigint"), docs["text"]), batch_of, SCHEMA + (", token_ids array<int>" if with_ids else ""), 100)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
