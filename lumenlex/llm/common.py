@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = 1000
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of ``rows`` rows for what runs inside; the session's own value returns."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a local session gets a folder
+    of its own; on a cluster there is no folder to guess, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lumenlex-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,7 +67,11 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
-    """mapInArrow over batches of at most ``rows`` rows; ``function`` takes one batch and returns one."""
+    """mapInArrow over batches of at most ``rows`` rows; ``function`` takes one batch and returns one.
+
+    The session's rows per batch are set to as many, which keeps long texts from filling a worker; another value that is
+    in force when the plan runs changes nothing but memory, as batches are cut here as well. What a worker's memory pool holds unused is given back at the end of each task.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,6 +79,8 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
                 out = function(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
+            del batch
+        pa.default_memory_pool().release_unused()
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set(BATCH, str(rows))
     return df.mapInArrow(each, schema)

@@ -42,7 +42,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 #: Characters of text that are worked on at a time; one longer text makes a longer array.
-CHUNK = 400_000
+CHUNK = 200_000
 _CELL, _DART = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlex.llm.common import map_arrow, written
+from lumenlex.llm.common import arrow_rows, map_arrow, written
 
 #: Rows up to which the small side of a join is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 400_000
@@ -79,7 +79,8 @@ def bucket_pairs_and_crowds(rows: DataFrame, partitions: int, reach: int = 1, sp
             keys, nodes = np.array([k for k, _ in ends]), np.array([n for _, n in ends])
             yield pa.RecordBatch.from_pydict({"a": nodes, "b": nodes, "key": keys, "kind": np.ones(len(keys), np.int64)})
 
-    found = written(ordered.mapInArrow(paired, "a bigint, b bigint, key bigint, kind bigint"), "pairs")
+    with arrow_rows(rows.sparkSession, 100_000):  # narrow rows
+        found = written(ordered.mapInArrow(paired, "a bigint, b bigint, key bigint, kind bigint"), "pairs")
     inside = found.filter("kind = 0").select("a", "b")
     ends = found.filter("kind = 1").select("key", "a")
     heads = ends.groupBy("key").agg(F.min("a").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")

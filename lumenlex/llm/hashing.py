@@ -11,6 +11,7 @@ import numpy as np
 MULTIPLIER = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _word_table = None
+KEPT_POWERS = 1 << 19
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -23,13 +24,17 @@ def is_word() -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n - 1 of an odd multiplier modulo 2^64, and of its inverse."""
-    if len(_powers[0]) < n:
-        for at, base in enumerate((MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64))):
-            steps = np.full(max(n, 1 << 20), base, np.uint64)
-            steps[0] = 1
-            _powers[at] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+    """Powers 0 to n - 1 of an odd multiplier modulo 2^64, and of its inverse. A bounded number of them is kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    found = []
+    for base in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)):
+        steps = np.full(max(n, KEPT_POWERS), base, np.uint64)
+        steps[0] = 1
+        found.append(np.multiply.accumulate(steps))
+    if len(found[0]) == KEPT_POWERS:
+        _powers[:] = found
+    return found[0][:n], found[1][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

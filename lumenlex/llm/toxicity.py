@@ -35,7 +35,7 @@ WORD_BITS, PREFIX_BITS, GRAM_BITS = 17, 15, 13
 WORD_DIM, PREFIX_DIM, GRAM_DIM = 6, 4, 6
 PREFIX = 4
 #: Characters of text that are worked on at a time; one longer text makes a longer array.
-CHUNK = 400_000
+CHUNK = 150_000
 
 
 class Words:
@@ -78,7 +78,7 @@ class Words:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 1 / (1 + np.exp(-np.clip(x, -80, 80)))
 
 
 class Network:
@@ -288,7 +288,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: dict[int, int] = S
     for label, n in most.items():
         ids += [(r["doc_id"], label) for r in known.filter(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(n).collect()]
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id bigint, toxic int")
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").collect()
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # one row of each id
     rows = sorted(((r["doc_id"], r["toxic"], r["text"] or "") for r in found), key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64), r[2]))
     return [r[2] for r in rows], [r[1] for r in rows]
 

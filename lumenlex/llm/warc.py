@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlex.llm.common import scratch_path, table, written
+from lumenlex.llm.common import arrow_rows, scratch_path, table, written
 
 RECORDS_PER_FILE = 9000
 #: Payloads of fewer bytes are always stored in full.
@@ -148,7 +148,6 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path).select("content")
     return files.mapInArrow(each, RECORD)
 
@@ -181,11 +180,10 @@ def resolved(found: DataFrame) -> DataFrame:
 
 def op2_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page into archives, read them back and assemble the captures: one row per page."""
-    path, batch = scratch_path(spark, "warc"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path = scratch_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    before = spark.conf.get(batch)
-    records = written(read_records(spark, path, with_payload=False), "warc-records")  # parsed once
-    spark.conf.set(batch, before)
+    with arrow_rows(spark, 1):  # archives are large rows
+        records = written(read_records(spark, path, with_payload=False), "warc-records")  # parsed once
     found = resolved(captures(records))
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return each.select(
