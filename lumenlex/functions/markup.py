@@ -1,7 +1,7 @@
 """From wiki markup to plain text, step by step.
 
-All steps are column expressions but two: links, whose labels nest and mangle in ways that no fold over tokens expresses,
-and the decoding of entities, for which Spark has no function. These are Arrow-batched.
+All steps are column expressions but three: nested blocks and links, whose nesting takes a scan with a stack, and the
+decoding of entities, for which Spark has no function. These are Arrow-batched.
 """
 
 from __future__ import annotations
@@ -46,26 +46,25 @@ def fill_page_name(text: Column, title: Column) -> Column:
     return F.replace(text, F.lit("{{PAGENAME}}"), F.coalesce(title, F.lit("")))
 
 
-def remove_nested(text: Column, opener: str, closer: str) -> Column:
-    """Without balanced blocks of two-character marks. An unclosed block runs to the end; a stray closer stays.
-
-    A fold over the marks and the stretches between them, which carries the depth and the pieces outside all blocks.
-    """
-    chars = "".join(dict.fromkeys(opener + closer))
-    quoted = "".join("\\" + c for c in chars)
-    token = f"(?s){re.escape(opener)}|{re.escape(closer)}|[^{quoted}]+|[{quoted}]"
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+def outside_blocks(text: str, opener: str, closer: str) -> str:
+    """Without balanced blocks of two-character marks. An unclosed block runs to the end; a stray closer stays."""
+    if opener not in text:
+        return text
+    kept, depth, at = [], 0, 0
+    for mark in re.finditer(f"{re.escape(opener)}|{re.escape(closer)}", text):
+        if mark[0] == opener:
+            if not depth:
+                kept.append(text[at : mark.start()])
+            depth += 1
+        elif depth:
+            depth -= 1
+            at = at if depth else mark.end()
+    return "".join(kept if depth else [*kept, text[at:]])
 
-    def step(state: Column, piece: Column) -> Column:
-        depth, kept = state["depth"], state["kept"]
-        return F.struct(
-            F.when(piece == opener, depth + 1).when((piece == closer) & (depth > 0), depth - 1).otherwise(depth).alias("depth"),
-            F.when((depth == 0) & (piece != opener), F.array_append(kept, piece)).otherwise(kept).alias("kept"),
-        )
 
-    folded = F.aggregate(F.regexp_extract_all(text, F.lit(token), F.lit(0)), start, step, lambda s: F.array_join(s["kept"], ""))
-    # Most texts have no such mark, and need no fold.
-    return F.when(F.contains(text, F.lit(opener)), folded).otherwise(text)
+def remove_nested(text: Column, opener: str, closer: str) -> Column:
+    """``outside_blocks`` of a column: one scan over the marks of each text."""
+    return _mapped(lambda t: outside_blocks(t, opener, closer), text)
 
 
 def is_dropped_link(target: str) -> bool:
@@ -81,30 +80,35 @@ def link_text(text: str) -> str:
     Openers and closers are matched with one stack over the whole text; then every outermost link is replaced by what
     follows its last bar, or by all of it, in which links are replaced in turn.
     """
-    if "[[" not in text:
-        return text
-    marks, closed, stack = [m for m in re.finditer(r"\[\[|\]\]", text)], {}, []
-    for m in marks:
-        if m[0] == "[[":
-            stack.append(m.start())
-        elif stack:
-            closed[stack.pop()] = m.end()
-    out, at = [], 0
-    for m in marks:
-        if m.start() < at or m[0] != "[[":
-            continue
-        out.append(text[at : m.start()])
-        end = closed.get(m.start())
-        if end is None:
-            at = m.end()  # an unclosed opener loses its mark only
+    out, todo = [], [(text, True)]  # what is open may hold links; a stack, as labels nest to any depth
+    while todo:
+        text, is_open = todo.pop()
+        if not is_open or "[[" not in text:
+            out.append(text)
             continue
-        inner = text[m.end() : end - 2]
-        target, bar, _ = inner.partition("|")
-        if not is_dropped_link(target):
-            label = inner[inner.rfind("|") + 1 :] if bar else inner
-            out.append(link_text(label if label.strip() else target))
-        at = end
-    return "".join([*out, text[at:]])
+        marks, closed, stack = [*re.finditer(r"\[\[|\]\]", text)], {}, []
+        for m in marks:
+            if m[0] == "[[":
+                stack.append(m.start())
+            elif stack:
+                closed[stack.pop()] = m.end()
+        parts, at = [], 0
+        for m in marks:
+            if m.start() < at or m[0] != "[[":
+                continue
+            parts.append((text[at : m.start()], False))
+            end = closed.get(m.start())
+            if end is None:
+                at = m.end()  # an unclosed opener loses its mark only
+                continue
+            inner = text[m.end() : end - 2]
+            target, bar, _ = inner.partition("|")
+            if not is_dropped_link(target):
+                label = inner[inner.rfind("|") + 1 :] if bar else inner
+                parts.append((label if label.strip() else target, True))
+            at = end
+        todo += reversed([*parts, (text[at:], False)])
+    return "".join(out)
 
 
 def _mapped(function: Callable[[str], str], text: Column) -> Column:
@@ -154,8 +158,8 @@ def clean_lines(text: Column) -> Column:
 
 
 def strip_markup(text: Column, title: Column | None = None) -> Column:
-    """All steps in their order. Calls Python twice (links, entities); see ``strip_html`` for texts without wiki links."""
+    """All steps in their order. Python runs twice: for blocks with links, and for entities."""
     text = fill_page_name(remove_references(remove_comments(text)), F.lit("") if title is None else title)
-    text = replace_links(remove_nested(remove_nested(text, "{{", "}}"), "{|", "|}"))
+    text = _mapped(lambda t: link_text(outside_blocks(outside_blocks(t, "{{", "}}"), "{|", "|}")), text)
     text = decode_entities(remove_tags(replace_external_links(text)))
     return clean_lines(remove_emphasis(text))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,27 +35,35 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) < 1), wrong).otherwise(cosine_from(dot(a, b), norm(a), norm(b)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once. (An expression inside a lambda runs anew for every element.)"""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def exponentials(scores: Column) -> Column:
     """exp(s - max): the unnormalised stable softmax; raises on an empty array."""
     empty = F.raise_error(F.lit("scores must not be empty")).cast("array<double>")
-    return F.when(F.size(scores) < 1, empty).otherwise(F.transform(scores, lambda s: F.exp(s - F.array_max(scores))))
+    return F.when(F.size(scores) < 1, empty).otherwise(bound(F.array_max(scores), lambda m: F.transform(scores, lambda s: F.exp(s - m))))
 
 
 def probabilities(scores: Column) -> Column:
-    a = exponentials(scores)
-    whole = total(a)
-    return F.transform(a, lambda x: x / whole)
+    return bound(exponentials(scores), lambda a: bound(total(a), lambda whole: F.transform(a, lambda x: x / whole)))
+
+
+def _out_of_range(target: Column, size: Column, kind: str, value: Column) -> Column:
+    """``value``, or an error where the target is no place of an array."""
+    return F.when((target < 0) | (target >= size), F.raise_error(F.lit("target id out of range")).cast(kind)).otherwise(value)
 
 
 def pair_loss(scores: Column, target: Column) -> Column:
     """(max - s[target]) + ln(sum of exponentials): no logarithm of 0 can occur."""
-    own = F.when((target < 0) | (target >= F.size(scores)), F.raise_error(F.lit("target id out of range")).cast("double")).otherwise(F.element_at(scores, (target + 1).cast("int")))
+    own = _out_of_range(target, F.size(scores), "double", F.get(scores, target.cast("int")))
     return (F.array_max(scores) - own) + F.ln(total(exponentials(scores)))
 
 
 def score_error(p: Column, target: Column) -> Column:
-    """Gradient of the loss with respect to the scores: p minus the one-hot target."""
-    return F.transform(p, lambda x, j: x - F.when(j == target, 1.0).otherwise(0.0))
+    """Gradient of the loss with respect to the scores: p minus the one-hot target; raises on a target out of range."""
+    return _out_of_range(target, F.size(p), "array<double>", F.transform(p, lambda x, j: x - F.when(j == target, 1.0).otherwise(0.0)))
 
 
 def outer(h: Column, e: Column) -> Column:

@@ -131,15 +131,23 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("center", "context").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Page ordinals of a group when sentences are numbered.
+PAGES = 65_536
+
+
 def sample_sentences(sentences: DataFrame, n: int, seed: int) -> DataFrame:
     """A seeded sample of n sentences in their order: that of Python's generator over the sentences' places.
 
-    The places are drawn on the driver (n of them); numbering all sentences takes a rank over pages, not over sentences.
+    The places are drawn on the driver (n of them). A page's offset is the size of all earlier groups of ``PAGES``
+    ordinals, whose sums are few, and of the earlier pages of its own group; page ordinals are integers.
     """
     _at_least_one(n, "n")
-    per_page = sentences.groupBy("page_ord").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.partitionBy().orderBy("page_ord").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_page.select("page_ord", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    group = F.floor(F.col("page_ord") / PAGES)
+    per_page = sentences.groupBy("page_ord").agg(F.count(F.lit(1)).alias("size")).withColumn("group", group)
+    earlier = lambda window, by: F.coalesce(F.sum("size").over(window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_group = per_page.groupBy("group").agg(F.sum("size").alias("size")).select("group", earlier(Window.partitionBy(), "group").alias("before"))
+    inside = per_page.withColumn("inside", earlier(Window.partitionBy("group"), "page_ord"))
+    offsets = inside.join(per_group, "group").select("page_ord", (F.col("before") + F.col("inside")).alias("offset"))
     rows = sentences.count()
     if n >= rows:
         return sentences

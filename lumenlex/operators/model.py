@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from lumenlex.functions import vectors as X
 
-#: Rows of a block of the block products.
+#: Rows of a block of the block products, and bytes of a block of scores.
 BLOCK = 2048
+BLOCK_BYTES = 16 << 20
 
 
 def initial_matrices(size: int, dim: int, seed: int, scale: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
@@ -63,25 +64,34 @@ def to_matrix(frame: DataFrame) -> np.ndarray:
     return np.stack(rows["vec"].to_numpy()).astype(float)
 
 
+def blocks(part: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """Rows whose products with ``width`` vectors fill about ``BLOCK_BYTES``."""
+    rows = max(1, BLOCK_BYTES // (8 * max(1, width)))
+    for at in range(0, len(part), rows):
+        yield part.iloc[at : at + rows]
+
+
 def with_scores(centers: DataFrame, ctx: DataFrame) -> DataFrame:
-    """``centers`` (id, vec, ...) with scores: the product of each vector with all context vectors, by context id."""
+    """``centers`` (id, vec, ...) with scores: the product of each vector with all context vectors, by context id.
+
+    The context matrix is a model's matrix, which fits the driver and a worker by construction; it is broadcast once.
+    """
     u = to_matrix(ctx).T
+    shared = centers.sparkSession.sparkContext.broadcast(u)
     schema = ", ".join([*(f"`{n}` {t}" for n, t in centers.dtypes), "scores array<double>"])
 
     def block(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for at in range(0, len(part), 256):
-                rows = part.iloc[at : at + 256]
-                yield rows.assign(scores=list(np.stack(rows["vec"].to_numpy()) @ u))
+            for rows in blocks(part, shared.value.shape[1]):
+                yield rows.assign(scores=list(np.stack(rows["vec"].to_numpy()) @ shared.value))
 
     return centers.mapInPandas(block, schema)
 
 
 def softmax_rows(scored: DataFrame) -> DataFrame:
     """With m (the largest score), log_sum (ln of the sum of exp(s - m)) and p (the probabilities)."""
-    a = X.exponentials(F.col("scores"))
-    kept = scored.withColumn("m", F.array_max("scores")).withColumn("a", a).withColumn("z", X.total(F.col("a")))
-    return kept.withColumn("log_sum", F.ln("z")).withColumn("p", F.transform("a", lambda x: x / F.col("z"))).drop("a", "z")
+    found = X.bound(X.exponentials(F.col("scores")), lambda a: X.bound(X.total(a), lambda z: F.struct(F.ln(z).alias("log_sum"), F.transform(a, lambda x: x / z).alias("p"))))
+    return scored.withColumn("m", F.array_max("scores")).withColumn("found", found).select(*[F.col(f"`{c}`") for c in scored.columns], "m", "found.log_sum", "found.p")
 
 
 def check_ids(pairs: DataFrame, size: int) -> None:
@@ -122,30 +132,55 @@ def dataset_loss(emb: DataFrame, ctx: DataFrame, pairs: DataFrame, check: bool =
     return summed.withColumn("j", F.col("loss_sum") / F.col("n_pairs"))
 
 
-def pair_steps(pairs: DataFrame, emb: DataFrame, ctx: DataFrame) -> DataFrame:
-    """For every pair (center, context): loss, the error vector e, and grad_h, all from the old weights.
+def pair_steps(pairs: DataFrame, emb: DataFrame, ctx: DataFrame, check: bool = True) -> DataFrame:
+    """center, context, h, loss, the error vector e, and grad_h of every pair, all from the old weights.
 
-    grad_U is the outer product of h and e (see vectors.outer); it is not materialised for every pair.
+    grad_U is the outer product of h and e (see ``context_gradient``); it is not materialised for every pair. Scores,
+    softmax, error and gradient of some pairs are one block of numpy; ids are checked first (IndexError, ValueError).
     """
-    joined = pairs.join(emb.withColumnRenamed("id", "center"), "center")
-    scored = softmax_rows(with_scores(joined, ctx))
-    target = F.col("context")
-    whole = scored.select(
-        "center",
-        "context",
-        F.col("vec").alias("h"),
-        ((F.col("m") - F.element_at("scores", (target + 1).cast("int"))) + F.col("log_sum")).alias("loss"),
-        X.score_error(F.col("p"), target).alias("e"),
-    )
     u = to_matrix(ctx).T
+    if check:
+        check_ids(pairs, u.shape[1])
+    shared = pairs.sparkSession.sparkContext.broadcast(u)
+    joined = pairs.select("center", "context").join(emb.select(F.col("id").alias("center"), F.col("vec").alias("h")), "center")
 
-    def times(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def steps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        u = shared.value
         for part in parts:
-            if len(part):
-                yield part.assign(grad_h=list(np.stack(part["e"].to_numpy()) @ u.T))
+            for rows in blocks(part, u.shape[1]):
+                s, target, place = np.stack(rows["h"].to_numpy()) @ u, rows["context"].to_numpy(), np.arange(len(rows))
+                m = s.max(1)
+                error = np.exp(s - m[:, None])
+                z = error.sum(1)
+                loss = (m - s[place, target]) + np.log(z)
+                error /= z[:, None]
+                error[place, target] -= 1.0
+                yield rows.assign(loss=loss, e=list(error), grad_h=list(error @ u.T))
+
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in joined.dtypes), "loss double, e array<double>, grad_h array<double>"])
+    return joined.mapInPandas(steps, schema)
+
+
+def context_gradient(step: DataFrame) -> DataFrame:
+    """id, grad: the rows of grad_U, by context id, summed over the pairs of ``step`` (see ``pair_steps``).
+
+    Each task adds up its pairs' outer products before anything is shuffled.
+    """
+    each = step.select("h", F.posexplode("e").alias("id", "x")).select("id", F.posexplode(F.transform("h", lambda h: h * F.col("x"))).alias("k", "g"))
+    summed = each.groupBy("id", "k").agg(F.sum("g").alias("g"))
+    return summed.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "g"))), lambda x: x["g"]).alias("grad"))
+
+
+def descended(matrix: DataFrame, gradient: DataFrame, rate: float) -> DataFrame:
+    """(id, vec) moved against (id, grad); rows without a gradient stay."""
+    moved = F.coalesce(X.descended(F.col("vec"), F.col("grad"), rate), F.col("vec"))
+    return matrix.join(gradient, "id", "left").select("id", moved.alias("vec"))
+
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in whole.dtypes), "grad_h array<double>"])
-    return whole.mapInPandas(times, schema)
+def step_matrices(emb: DataFrame, ctx: DataFrame, center: int, context: int, rate: float) -> tuple[DataFrame, DataFrame]:
+    """(emb, ctx) after one step on one pair; both gradients are from the old weights."""
+    step = pair_steps(emb.sparkSession.createDataFrame([(center, context)], "center int, context int"), emb, ctx)
+    return descended(emb, step.select(F.col("center").alias("id"), F.col("grad_h").alias("grad")), rate), descended(ctx, context_gradient(step), rate)
 
 
 def _words_known(emb: DataFrame, words: list[str]) -> DataFrame:
@@ -170,7 +205,8 @@ def nearest_batch(queries: DataFrame, emb: DataFrame, k: int = 3) -> DataFrame:
     """query_id, rank, id, cosine: the k nearest rows of ``emb`` (id, vec) for every row of ``queries`` (id, vec).
 
     Both sides are cut into blocks of at most ``BLOCK`` rows on average; each pair of blocks is one matrix product that
-    keeps the best of each query. Neither side has to fit a task or the driver. What is kept is scored again in a fixed
+    keeps the best of each query. Neither side has to fit a task or the driver; each side travels once for every block of
+    the other, the price of an exact answer, which is quadratic by nature. What is kept is scored again in a fixed
     order of summation, so that equal vectors tie exactly.
     """
     if k < 1:
