@@ -69,6 +69,13 @@ def test_markup_steps(spark, step, given, wanted):
     assert each(spark, [given, None], step) == [wanted, None]
 
 
+def test_deep_links_and_many_blocks():
+    """Neither nesting nor the number of marks is bounded."""
+    assert M.link_text("[[" * 5000 + "x" + "]]" * 5000) == "x"
+    assert M.outside_blocks("a{{b}}" * 100_000, "{{", "}}") == "a" * 100_000
+    assert M.outside_blocks("{{" * 50_000 + "}}" * 50_000 + "end", "{{", "}}") == "end"
+
+
 def test_all_steps_in_order(spark):
     rows = spark.createDataFrame([("ከተማ", "{{Info|x={{y}}}}'''{{PAGENAME}}''' [[a|ናት]]።<ref>r</ref>\n== H ==\n* &lt;b&gt; [http://u ል]<!-- c -->")], "title string, t string")
     assert rows.select(M.strip_markup(F.col("t"), F.col("title")).alias("x")).first()["x"] == "ከተማ ናት።\n<b> ል"
