@@ -44,7 +44,9 @@ BANDS = PAIR_BANDS + GRAM_BANDS
 CHUNK = 100_000
 #: Pairs of lines with at most so many characters are compared side by side, about so many characters at a time; longer
 #: ones each alone.
-SIDE_BY_SIDE, ABREAST = 1200, 500_000
+SIDE_BY_SIDE, ABREAST = 4000, 200_000
+#: Entries of the table that says where the characters of the texts of a batch stand, at most.
+TABLE = 4_000_000
 
 _zeros = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
 _turns = np.random.default_rng(20).integers(0, 1 << 32, (2, PAIR_MINIMA + GRAM_BANDS * GRAM_ROWS), np.uint32) | np.uint32(1)
@@ -161,9 +163,10 @@ def distances(left: list[str], right: list[str]) -> np.ndarray:
     """The edit distances of many pairs of texts, exactly, in one pass over all of them side by side.
 
     A column of the table of distances is kept as its vertical differences, a bit each, in words of 64 rows; the
-    horizontal differences at a word's end go on to the next word. A distance is the number of steps plus the vertical
-    differences of the last column. So that all pairs take as many steps, both texts of a pair get the same filling at
-    their ends, which changes no distance.
+    horizontal differences at a word's end go on to the next word. The words are worked on in a slant, each one step behind
+    the word above it, so that all words of all pairs take part in each operation. A distance is the number of steps plus
+    the vertical differences of the last column. So that all pairs take as many steps, both texts of a pair get the same
+    filling at their ends, which changes no distance.
     """
     steps = max(1, *map(len, left))
     fill = ["\udffe" * (steps - len(x)) for x in left]
@@ -171,29 +174,39 @@ def distances(left: list[str], right: list[str]) -> np.ndarray:
     words, n = int(sizes.max()) // 64 + 1, len(left)
     texts = [*((y + z).ljust(words * 64, "\udfff") for y, z in zip(right, fill, strict=True)), *(x + z for x, z in zip(left, fill, strict=True))]
     known, codes = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    if n > 1 and words * n * len(known) > TABLE:
+        return np.concatenate([distances(left[: n // 2], right[: n // 2]), distances(left[n // 2 :], right[n // 2 :])])
     codes = codes.astype(np.uint8 if len(known) < 256 else np.uint32)
-    rows, steps_of = codes[: n * words * 64].reshape(n, -1), codes[n * words * 64 :].reshape(n, -1).T.astype(np.int64)
+    rows, across = codes[: n * words * 64].reshape(n, -1), codes[n * words * 64 :].reshape(n, -1).T.astype(np.int64) * n
     packed = lambda bits: np.packbits(bits, axis=1, bitorder="little").view(np.uint64).T
     where = np.empty((words, len(known), n), np.uint64)
     for c in range(len(known)):
         where[:, c] = packed(rows == c)
-    where = where.reshape(words, -1)
+    where, place = where.reshape(-1), np.arange(words)[:, None] * (len(known) * n) + np.arange(n)
     one, last = np.uint64(1), np.uint64(63)
     plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
-    zero, ones, pair = np.zeros(n, np.uint64), np.ones(n, np.uint64), np.arange(n)
-    for step in steps_of:
-        here = where.take(step * n + pair, axis=1)
-        more, less = ones, zero  # the differences along the row above: each step costs 1
-        for w in range(words):
-            equal, p, m = here[w], plus[w], minus[w]
-            vertical = equal | m
-            equal = equal | less
-            horizontal = (((equal & p) + p) ^ p) | equal
-            up, down = m | ~(horizontal | p), p & horizontal
-            next_more, next_less = up >> last, down >> last
-            up, down = up << one | more, down << one | less
-            plus[w], minus[w] = down | ~(vertical | up), up & vertical
-            more, less = next_more, next_less
+    # The differences along the row above each word; above the first one each step costs 1.
+    more, less = np.ones((words + 1, n), np.uint64), np.zeros((words + 1, n), np.uint64)
+    for slant in range(steps + words - 1):
+        low, high = max(0, slant - steps + 1), min(words, slant + 1)
+        equal = where.take(across[slant - high + 1 : slant - low + 1][::-1] + place[low:high])
+        p, m, h = plus[low:high], minus[low:high], less[low:high]
+        vertical = equal | m
+        equal |= h
+        horizontal = equal & p
+        horizontal += p
+        horizontal ^= p
+        horizontal |= equal
+        up = ~(horizontal | p)
+        up |= m
+        down = p & horizontal
+        next_more, next_less = up >> last, down >> last
+        up <<= one
+        up |= more[low:high]
+        down <<= one
+        down |= h
+        plus[low:high], minus[low:high] = down | ~(vertical | up), up & vertical
+        more[low + 1 : high + 1], less[low + 1 : high + 1] = next_more, next_less
     inside = packed(np.arange(words * 64) < sizes[:, None])
     return steps + (np.bitwise_count(plus & inside).sum(0, dtype=np.int64) - np.bitwise_count(minus & inside).sum(0, dtype=np.int64))
 
@@ -210,6 +223,8 @@ SKIPPED = 8
 def surely_similar(a: str, b: str, most: int) -> bool:
     """Is one way from a to b cheap enough? Where words differ, those up to the next equal ones are replaced."""
     p, q, i, j, cost = a.split(" "), b.split(" "), 0, 0, 0
+    if len({*p}.intersection(q)) < 0.6 * min(len({*p}), len({*q})):
+        return False  # it would hardly be
     while i < len(p) and j < len(q):
         if p[i] == q[j]:
             i += 1
@@ -252,7 +267,7 @@ def similar_pairs(left: list[str], right: list[str], bound: float = SIMILARITY)
         a, b = [left[i] for i in chosen], [right[i] for i in chosen]
         most = allowed(np.maximum([len(x) for x in a], [len(x) for x in b]), bound)
         # A few pairs are faster each alone.
-        out[chosen] = distances(a, b) <= most if len(a) >= 100 else [distance(x, y, int(n)) <= n for x, y, n in zip(a, b, most, strict=True)]
+        out[chosen] = distances(a, b) <= most if len(a) >= 8 else [distance(x, y, int(n)) <= n for x, y, n in zip(a, b, most, strict=True)]
         at = end
     return out
 
