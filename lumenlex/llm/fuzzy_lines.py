@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlex.llm.common import map_arrow, table, written
+from lumenlex.llm.common import arrow_rows, map_arrow, table, written
 from lumenlex.llm.graph import bucket_pairs_and_crowds, components, join_checked, pairs_apart
 from lumenlex.llm.hashing import mixed as _mixed64
 from lumenlex.llm.hashing import powers
@@ -41,10 +41,14 @@ SHORT = 64
 GRAM, GRAM_BANDS, GRAM_ROWS = 4, 8, 6
 BANDS = PAIR_BANDS + GRAM_BANDS
 #: Characters of lines that are worked on at a time; one longer line makes a longer array.
-CHUNK = 100_000
+CHUNK = 400_000
 #: Pairs of lines with at most so many characters are compared side by side, about so many characters at a time; longer
-#: ones each alone.
-SIDE_BY_SIDE, ABREAST = 4000, 200_000
+#: ones each alone, and so are fewer than ``FEW`` pairs of like length.
+SIDE_BY_SIDE, ABREAST, FEW = 4000, 200_000, 24
+#: Pairs side by side take as many steps as the longest of them; no other is shorter than it by a larger factor.
+UNEVEN = 1.3
+#: Pairs, and characters of them, that a task gathers before it compares them.
+GATHERED, GATHERED_CHARACTERS = 8000, 4_000_000
 #: Entries of the table that says where the characters of the texts of a batch stand, at most.
 TABLE = 4_000_000
 
@@ -73,11 +77,10 @@ def _bands(values: np.ndarray, first: np.ndarray, sets: list[tuple[int, ...]]) -
     for k in sorted({k for band in sets for k in band}):
         h = values * _turns[0, k] + _turns[1, k]
         minima[k] = np.minimum.reduceat((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D), first)
-    out = np.zeros((len(first), len(sets)), np.uint32)
-    for at, band in enumerate(sets):
-        for k in band:
-            out[:, at] = _mixed(out[:, at] * np.uint32(0x01000193) + minima[k])
-    return out.view(np.int32)
+    out = np.zeros((len(sets), len(first)), np.uint32)
+    for row in zip(*sets, strict=True):
+        out = _mixed(out * np.uint32(0x01000193) + np.stack([minima[k] for k in row]))
+    return np.ascontiguousarray(out.T).view(np.int32)
 
 
 def bands_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -255,19 +258,19 @@ def similar_pairs(left: list[str], right: list[str], bound: float = SIMILARITY)
         elif max(len(a), len(b)) > SIDE_BY_SIDE:
             out[i] = distance(a, b, most) <= most
         else:
-            open_pairs.append((len(a), i))
+            open_pairs.append((max(len(a), len(b)), i))
     open_pairs.sort()
     at = 0
     while at < len(open_pairs):
-        end, size = at, 0
-        while end < len(open_pairs) and (end == at or size <= ABREAST):
+        end, size, longest = at, 0, open_pairs[at][0] * UNEVEN + 16
+        while end < len(open_pairs) and (end == at or size <= ABREAST and open_pairs[end][0] <= longest):
             size += open_pairs[end][0]
             end += 1
         chosen = [i for _, i in open_pairs[at:end]]
         a, b = [left[i] for i in chosen], [right[i] for i in chosen]
         most = allowed(np.maximum([len(x) for x in a], [len(x) for x in b]), bound)
         # A few pairs are faster each alone.
-        out[chosen] = distances(a, b) <= most if len(a) >= 8 else [distance(x, y, int(n)) <= n for x, y, n in zip(a, b, most, strict=True)]
+        out[chosen] = distances(a, b) <= most if len(a) >= FEW else [distance(x, y, int(n)) <= n for x, y, n in zip(a, b, most, strict=True)]
         at = end
     return out
 
@@ -337,7 +340,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, bound: float = SIMILARITY)
     texts = _lines_at(docs, lines.join(involved, "id").select("id", "doc_id", "text_key", "line"))
     # Rows equal in doc_id and text repeat their lines.
     texts = written(texts.groupBy("id").agg(F.first("text").alias("text")), "line-texts")
-    links = written(verified(pairs, texts, bound), "links")
+    links = verified(pairs, texts, bound)
 
     def test(key: int, data: pa.StructArray):
         size = np.array([len(text) for text in data.field("text").to_pylist()])
@@ -360,17 +363,32 @@ def similar_lines(docs: DataFrame, lines: DataFrame, bound: float = SIMILARITY)
 
 
 def verified(close: DataFrame, texts: DataFrame, bound: float) -> DataFrame:
-    """The pairs (a, b) of ``close`` whose lines, in ``texts`` (id, text), are similar by their edit distance."""
+    """The pairs (a, b) of ``close`` whose lines, in ``texts`` (id, text), are similar by their edit distance; a written table."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     both = close.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     both = both.filter(F.abs(F.length("x") - F.length("y")) <= F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - bound) + 1e-9))
 
-    def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = similar_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), bound)
-        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return map_arrow(both, batch_of, "a bigint, b bigint", 1000)
+    def similar(held: list[tuple]) -> pa.RecordBatch:
+        a, b, x, y = zip(*held, strict=True)
+        keep = similar_pairs(x, y, bound)
+        return pa.RecordBatch.from_pydict({"a": np.array(a, np.int64)[keep], "b": np.array(b, np.int64)[keep]})
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                held.append(row)
+                size += len(row[2]) + len(row[3])
+                if len(held) >= GATHERED or size >= GATHERED_CHARACTERS:
+                    yield similar(held)
+                    held, size = [], 0
+        if held:
+            yield similar(held)
+        pa.default_memory_pool().release_unused()
+
+    with arrow_rows(both.sparkSession, 250):
+        return written(both.mapInArrow(each, "a bigint, b bigint"), "links")
 
 
 def dropped_lines(docs: DataFrame, bound: float = SIMILARITY) -> DataFrame:
