@@ -49,6 +49,8 @@ SIDE_BY_SIDE, ABREAST, FEW = 4000, 200_000, 24
 UNEVEN = 1.3
 #: Pairs, and characters of them, that a task gathers before it compares them.
 GATHERED, GATHERED_CHARACTERS = 8000, 4_000_000
+#: Counters of a line's characters.
+BAG = 64
 #: Entries of the table that says where the characters of the texts of a batch stand, at most.
 TABLE = 4_000_000
 
@@ -246,14 +248,33 @@ def surely_similar(a: str, b: str, most: int) -> bool:
     return cost + sum(map(len, p[i:])) + len(p) - i + sum(map(len, q[j:])) + len(q) - j <= most
 
 
-def similar_pairs(left: list[str], right: list[str], bound: float = SIMILARITY) -> np.ndarray:
-    """Which pairs are similar, 1 - distance / longer length being at least ``bound``? Decided exactly."""
+def surely_apart(left: list[str], right: list[str], bound: float = SIMILARITY) -> np.ndarray:
+    """Does either of two lines hold more characters that the other one lacks than their distance may be?
+
+    Each edit removes one character, adds one, or both. Characters are counted by their last bits, which only lets more
+    pairs pass.
+    """
+    places: dict[str, int] = {}
+    a, b = (np.array([places.setdefault(x, len(places)) for x in side], np.int64) for side in (left, right))
+    bags = np.zeros((len(places), BAG), np.int32)
+    for x, i in places.items():
+        bags[i] = np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % BAG, minlength=BAG)
+    sizes = bags.sum(1)
+    lacking = np.concatenate([np.maximum(bags[a[at : at + GATHERED]] - bags[b[at : at + GATHERED]], 0).sum(1) for at in range(0, len(a), GATHERED)] or [a])
+    # What b holds beyond a follows from the lengths.
+    return np.maximum(lacking, lacking + sizes[b] - sizes[a]) > allowed(np.maximum(sizes[a], sizes[b]), bound)
+
+
+def similar_pairs(left: list[str], right: list[str], bound: float = SIMILARITY, likely: bool = True) -> np.ndarray:
+    """Which pairs are similar, 1 - distance / longer length being at least ``bound``? Decided exactly.
+
+    Where most are ``likely`` similar, a cheap way from one to the other is tried first.
+    """
     out, open_pairs = np.zeros(len(left), bool), []
-    for i, (a, b) in enumerate(zip(left, right, strict=True)):
+    for i in np.flatnonzero(~surely_apart(left, right, bound)):
+        a, b = left[i], right[i]
         most = int(allowed(max(len(a), len(b)), bound))
-        if abs(len(a) - len(b)) > most:
-            continue
-        if surely_similar(a, b, most):
+        if likely and surely_similar(a, b, most):
             out[i] = True
         elif max(len(a), len(b)) > SIDE_BY_SIDE:
             out[i] = distance(a, b, most) <= most
@@ -358,7 +379,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, bound: float = SIMILARITY)
         return partners
 
     data = texts.join(lines.select("id", "bands"), "id").select(F.col("id").alias("node"), F.struct("bands", "text").alias("data"))
-    rest = written(pairs_apart(crowds, components(links), data, test, one_each=True, confirm=("text", lambda a, b: similar_pairs(a, b, bound))), "links")
+    rest = written(pairs_apart(crowds, components(links), data, test, one_each=True, confirm=("text", lambda a, b: similar_pairs(a, b, bound, likely=False))), "links")
     return links if rest.isEmpty() else links.unionByName(rest)
 
 
