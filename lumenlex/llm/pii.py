@@ -1,14 +1,19 @@
 """Personal data: base patterns, and candidates chosen by gradient-boosted trees.
 
 Base spans (email, ip, card, phone) follow fixed patterns and checks and always stay. Beyond them, high-recall generators
-propose overlapping spans: masked or spaced addresses, numbers without a plus sign, other separators, incomplete forms.
+propose overlapping spans: masked or spaced addresses, numbers without a plus sign, other separators, incomplete forms,
+and secrets: assigned values and long tokens that hold a digit. Secrets are a kind of their own, beside the four.
 Boosted trees, written and trained in numpy on the driver, judge every candidate by format and context; a candidate is
 selected if its score reaches the threshold of its kind, which is calibrated on held-out candidates for a precision of
 ``PRECISION``; a kind whose held-out candidates never reach it selects nothing.
 
 Training: a bounded sample of at most ``SAMPLE`` documents that hold a digit or an @ (those whose doc_id has the smallest
-MD5). Base spans are the positive examples, also rewritten in the masked forms that the base patterns miss; candidates
-that are no base spans are the negative ones.
+MD5). Examples come from three places. Base spans are positive, also rewritten in the masked forms that the base patterns
+miss; candidates of the four kinds that are no base spans are negative. And each sampled text gets labelled forms put
+between its words, made by a fixed rule with a fixed seed (``labelled_form``): credentials and masked forms as positive
+ones, and what resembles them (checksums, commits, identifiers, versions, dates, order numbers, settings) as negative
+ones. Secrets have no labels in the texts themselves, so they are learnt from these forms alone. Every third document is
+held out for the thresholds.
 
 Every pass over a text takes time in proportion to its length, also over long runs of digits.
 
@@ -20,7 +25,9 @@ empty table; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +38,13 @@ from pyspark.sql import functions as F
 from lumenlex.llm.common import map_arrow, table
 
 KINDS = ("email", "ip", "card", "phone")
+EVERY = (*KINDS, "secret")
 SAMPLE = 2000
 PRECISION = 0.995
 #: Held-out positives that a threshold needs at least.
 LEAST_POSITIVES = 20
+#: Labelled forms that each sampled text gets.
+FORMS = 3
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -42,7 +52,6 @@ _dotted = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _digits = re.compile(r"[0-9]+")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_any = re.compile(r"[0-9@]|[\[(]at[\])]", re.IGNORECASE)
 Span = tuple[int, int]
 
 
@@ -98,8 +107,9 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 
 _masked_at = re.compile(r"@|[\[(]\s?at\s?[\])]", re.IGNORECASE)
-_before_at = re.compile(r"[A-Za-z0-9._%+-]+\s?\Z")
-_after_at = re.compile(r"\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[A-Za-z0-9-]{1,63}){0,4}", re.IGNORECASE)
+#: What every text with a span holds: each generator needs a digit or one of the signs for "at".
+_any = re.compile(rf"[0-9]|{_masked_at.pattern}", re.IGNORECASE)
+_after_at = re.compile(r"\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[A-Za-z0-9-]+)*", re.IGNORECASE)
 _loose = {
     "ip": re.compile(r"[0-9]{1,3}(?:\s?[.:,]\s?[0-9]{1,3}){3,7}"),
     "card": re.compile(r"[0-9](?:[ ._\-/]{0,2}[0-9]){11,19}"),
@@ -107,21 +117,36 @@ _loose = {
 }
 
 
+#: A value after a colon or an equals sign, and a long run of letters, digits, dashes and underscores.
+_assigned = re.compile(r"[=:]\s?[\"']?([^\s\"'<>;,=:@]{8,})")
+_token = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{16,})")
+
+
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """Overlapping spans that may be personal data: (kind, start, end)."""
     for at in _masked_at.finditer(text):
-        lead = max(0, at.start() - 66)
-        before, after = _before_at.search(text[lead : at.start()]), _after_at.match(text, at.end())
-        if before and after:
-            yield "email", lead + before.start(), after.end()
+        start = stop = at.start() - (at.start() > 0 and text[at.start() - 1].isspace())
+        while start and text[start - 1] in LOCAL:
+            start -= 1
+        if start < stop and (after := _after_at.match(text, at.end())):
+            yield "email", start, after.end()
     for kind, pattern in _loose.items():
         for found in pattern.finditer(text):
             yield kind, found.start(), found.end()
+    for pattern in (_assigned, _token):
+        for found in pattern.finditer(text):
+            if _digits.search(found[1]):
+                yield "secret", *found.span(1)
 
 
 _contact = re.compile(r"tel|phone|call|fax|mail|contact|reach|whatsapp|host|server|addr|card|visa|credit|amex|\bip\b", re.IGNORECASE)
 _secret = re.compile(r"token|secret|passw|key|hash|sha|md5|version|isbn|order|invoice|\bno\b", re.IGNORECASE)
-FEATURES = 24
+_credential = re.compile(r"token|secret|passw|pwd|api.?key|access|auth|bearer|credential|private", re.IGNORECASE)
+_reference = re.compile(r"hash|sha|md5|sum|digest|commit|uuid|guid|version|isbn|order|invoice|rev|build|\bid\b", re.IGNORECASE)
+#: Well-known beginnings of issued keys.
+_issued = re.compile(r"AKIA|ASIA|gh[pousr]_|sk_(?:live|test)_|xox[abp]-|AIza|glpat-")
+_turns = re.compile(r"[0-9][A-Za-z]|[A-Za-z](?=[0-9])")
+FEATURES = 34
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -135,7 +160,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     tail = span[where.end() :] if where else ""
     edge = lambda c: 0 if not c or c.isspace() else 2 if c.isalnum() else 1
     return [
-        KINDS.index(kind),
+        EVERY.index(kind),
         len(span),
         len(digits),
         sum(c.isalpha() for c in span),
@@ -159,6 +184,16 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         bool(_secret.search(lead)),
         len(set(digits)),
         len(set(re.findall(r"[^0-9A-Za-z]", span))),
+        bool(_credential.search(lead)),
+        bool(_reference.search(lead)),
+        bool(_issued.match(span)),
+        before in "=\"'" and before != "",
+        lead.rstrip("\"' ")[-1:] in ("=", ":"),
+        sum(c.isupper() for c in span),
+        sum(c in "0123456789abcdefABCDEF" for c in span) / max(1, len(span)),
+        len(_turns.findall(span)) / max(1, len(span)),
+        len(set(span)),
+        span.count("/") + span.count("_"),
     ]
 
 
@@ -229,34 +264,82 @@ def _rewritten(text: str, kind: str, start: int, end: int) -> Iterator[tuple[str
         yield text[:start] + form + text[end:], start, start + len(form)
 
 
+def _drawn(rng: random.Random, letters: str, least: int, most: int) -> str:
+    """Random characters, digits among them."""
+    out = rng.choices(letters, k=rng.randint(least, most))
+    out[rng.randrange(1, len(out))] = rng.choice(string.digits)
+    return "".join(out)
+
+
+def labelled_form(rng: random.Random) -> tuple[str, str, str, bool]:
+    """(text before, form, kind, is it personal data?): a made-up form of a credential, or of what resembles one."""
+    hexes, mixed, capitals = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
+    number = lambda n: "".join(rng.choices(string.digits, k=n))
+    draw = rng.random()
+    if draw < 0.3:
+        name = rng.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "client_secret", "private_key"))
+        value = rng.choice((lambda: _drawn(rng, hexes, 12, 64), lambda: _drawn(rng, mixed, 10, 48), lambda: _drawn(rng, mixed + "!#$%+/_-", 8, 40)))()
+        return rng.choice((name, name, name.upper())) + rng.choice(("=", " = ", ": ", ":", '="', ' = "', ": '")), value, "secret", True
+    if draw < 0.45:
+        issued = rng.choice((lambda: "AKIA" + _drawn(rng, capitals, 16, 16), lambda: "ghp_" + _drawn(rng, mixed, 36, 36), lambda: "sk_live_" + _drawn(rng, mixed, 24, 24), lambda: "AIza" + _drawn(rng, mixed + "_-", 35, 35)))
+        return rng.choice(("", "", "key ", "key: ", "use ")), issued(), "secret", True
+    if draw < 0.7:
+        name = rng.choice(("commit", "sha256", "md5", "checksum", "digest", "build", "uuid", "id", "revision", "hash", "etag"))
+        value = rng.choice((lambda: _drawn(rng, hexes, 16, 64), lambda: "-".join(_drawn(rng, hexes, n, n) for n in (8, 4, 4, 4, 12)), lambda: number(rng.randint(16, 30))))
+        return name + rng.choice((" ", "=", ": ", "-", " = ")), value(), "secret", False
+    if draw < 0.85:
+        value = rng.choice(
+            (lambda: f"file_name_{number(2)}_of_{number(4)}", lambda: f"20{number(2)}-0{rng.randint(1, 9)}-1{number(1)}T1{number(1)}-{number(2)}-{number(2)}", lambda: "chapter-" + number(2) + "-" + "".join(rng.choices(string.ascii_lowercase, k=9)))
+        )
+        return rng.choice(("", "see ", "in ", "name: ", "date=")), value(), "secret", False
+    if draw < 0.93:
+        return rng.choice(("page=", "width: ", "size = ", "version: ", "port=", "time: ", "token: ", "key: ")), f"{rng.choice(('v', 'n', 'row', 'step', 'part'))}{number(2)}{rng.choice(('.', '-'))}{number(5)}", "secret", False
+    return rng.choice(("order ", "invoice no ", "isbn ", "part ")), rng.choice((number(10), f"978-{number(1)}-{number(2)}-{number(6)}-{number(1)}", f"{number(4)}-{number(4)}")), "phone", False
+
+
 class Detector:
     """The trees and the threshold of each kind."""
 
     def __init__(self, texts: list[str], precision: float = PRECISION):
-        x, y = [], []
-        for text in texts:
+        rng = random.Random(5)
+        x, y, document = [], [], []
+
+        def example(at: int, text: str, kind: str, start: int, end: int, label: bool) -> None:
+            x.append(features(text, kind, start, end))
+            y.append(label)
+            document.append(at)
+
+        for at, text in enumerate(texts):
             base = base_spans(text)
             for kind, start, end in candidates(text):
+                if kind == "secret":
+                    continue  # no labels
                 hit = any(_overlap((start, end), s) for s in base[kind])
                 # What overlaps a base span of another kind is decided already; it is no example.
                 if hit or not any(_overlap((start, end), s) for spans in base.values() for s in spans):
-                    x.append(features(text, kind, start, end))
-                    y.append(hit)
+                    example(at, text, kind, start, end, hit)
             for kind, spans in base.items():
                 for start, end in spans[:2]:
                     around = text[max(0, start - 100) : end + 100]
                     for form, s, e in _rewritten(around, kind, start - max(0, start - 100), end - max(0, start - 100)):
                         for k, a, b in candidates(form):
                             if k == kind and a < e and s < b:
-                                x.append(features(form, kind, a, b))
-                                y.append(abs(a - s) + abs(b - e) <= 2)
+                                example(at, form, k, a, b, abs(a - s) + abs(b - e) <= 2)
+            for _ in range(FORMS):
+                before, form, kind, label = labelled_form(rng)
+                cut = text.find(" ", rng.randrange(len(text) + 1)) + 1 if text else 0
+                left = text[max(0, cut - 60) : cut] + before
+                held, s, e = f"{left}{form}{rng.choice((' ', ' ', '. ', chr(10)))}{text[cut : cut + 60]}", len(left), len(left) + len(form)
+                for k, a, b in candidates(held):
+                    if a < e and s < b and (k == kind or not label):
+                        example(at, held, k, a, b, label and abs(a - s) + abs(b - e) <= 2)
         xs, ys = np.array(x, float).reshape(-1, FEATURES), np.array(y, float)
-        held_out = np.arange(len(ys)) % 3 == 2
-        self.trees = Boosting(xs[~held_out], ys[~held_out])
-        self.threshold = {kind: self._calibrated(xs[held_out], ys[held_out], kind, precision) for kind in KINDS}
+        held_out = np.array(document, np.int64) % 3 == 2
+        self.trees = Boosting(xs[~held_out], ys[~held_out], trees=60)
+        self.threshold = {kind: self._calibrated(xs[held_out], ys[held_out], kind, precision) for kind in EVERY}
 
     def _calibrated(self, x: np.ndarray, y: np.ndarray, kind: str, precision: float) -> float:
-        own = x[:, 0] == KINDS.index(kind)
+        own = x[:, 0] == EVERY.index(kind)
         scores, truth = self.trees.score(x[own]), y[own]
         order = np.argsort(-scores, kind="stable")
         scores, right = scores[order], truth[order].cumsum()
@@ -286,8 +369,8 @@ class Detector:
         return out
 
 
-def listed(spans: dict[str, list[Span]]) -> str:
-    return ",".join(f"{kind}:{s}:{e}" for kind in KINDS for s, e in sorted(spans.get(kind, ())))
+def listed(spans: dict[str, list[Span]], kinds: tuple[str, ...] = KINDS) -> str:
+    return ",".join(f"{kind}:{s}:{e}" for kind in kinds for s, e in sorted(spans.get(kind, ())))
 
 
 def redacted(text: str, spans: dict[str, list[Span]]) -> str:
@@ -312,14 +395,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Detector:
 
 
 def find_personal_data(docs: DataFrame, detector: Detector, redact: bool = True) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and, with ``redact``, the redacted text."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (of the four kinds), secrets and, with ``redact``, the redacted text."""
 
     def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, digests, spans, texts = {kind: [] for kind in KINDS}, [], [], []
+        counts, digests, spans, secrets, texts = {kind: [] for kind in KINDS}, [], [], [], []
         for value in batch.column(1):
             text = value.as_py() or ""
             base = base_spans(text) if _any.search(text) else {}
-            every = {kind: [*base.get(kind, ())] for kind in KINDS}
+            every = {kind: [*base.get(kind, ())] for kind in EVERY}
             if base:
                 for kind, more in detector.added(text, base).items():
                     every[kind] += more
@@ -327,12 +410,13 @@ def find_personal_data(docs: DataFrame, detector: Detector, redact: bool = True)
                 counts[kind].append(len(base.get(kind, ())))
             digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
             spans.append(listed(every))
+            secrets.append(listed(every, ("secret",)))
             texts.append(redacted(text, every) if redact else None)
         columns = {"doc_id": batch.column(0)} | {f"n_{kind}": pa.array(n, pa.int64()) for kind, n in counts.items()}
-        columns |= {"base_sha256": digests, "spans": spans} | ({"redacted": texts} if redact else {})
+        columns |= {"base_sha256": digests, "spans": spans, "secrets": secrets} | ({"redacted": texts} if redact else {})
         return pa.RecordBatch.from_pydict(columns)
 
-    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, secrets string"
     return map_arrow(docs.select(docs["doc_id"].cast("bigint"), docs["text"]), batch_of, schema + (", redacted string" if redact else ""), 500)
 
 

@@ -171,6 +171,36 @@ def test_detector(spark):
     assert pii.Detector([]).added("call 212-555-0100", {}) == {}
 
 
+def test_secrets_and_masked_forms(spark):
+    detector = pii.Detector(private_texts(900, 1))
+    rng, rows, truth = random.Random(77), [], {}
+    for i in range(400):
+        before, form, kind, label = pii.labelled_form(rng)
+        lead = f"the of anin lynt {before}"
+        rows.append((i, f"{lead}{form} whhe and"))
+        truth[i] = f"secret:{len(lead)}:{len(lead) + len(form)}" if label else ""
+    rows += [(1000, "write to joe [ at ] example [ dot ] com soon"), (1001, "password=" + "x1" * 40_000), (1002, "plain words only"), (1003, "=: [at] (at) 1")]
+    found = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string"), detector).collect()}
+    named = [i for i in truth if truth[i]]
+    assert sum(found[i]["secrets"] == truth[i] for i in named) >= 0.95 * len(named)
+    assert sum(bool(found[i]["secrets"]) for i in truth if not truth[i]) <= 0.02 * len(truth)
+    # Text without digits and @ reaches the generator, which takes the whole address.
+    assert found[1000]["spans"] in ("", "email:9:39") and [*pii.candidates(rows[400][1])] == [("email", 9, 39)]
+    assert found[1002]["spans"] == found[1002]["secrets"] == found[1003]["spans"] == ""
+    assert "[SECRET]" in found[next(i for i in named if found[i]["secrets"])]["redacted"]
+
+
+def test_op5_contract(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(private_texts(120, 9))] + [(None, None), (7, "a@b.c"), (7, "a@b.c")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = pii.op5_personal_data(spark, str(tmp_path))
+    wanted = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, secrets string"
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in out.schema] == wanted.split(", ")
+    count = lambda r: tuple(len(brute_spans(r[1] or "")[k]) for k in pii.KINDS)
+    got = sorted((str(r["doc_id"]), r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in out.collect())
+    assert got == sorted((str(r[0]), *count(r)) for r in rows)
+
+
 # --- near copies
 
 
