@@ -31,10 +31,10 @@ BITS = 15
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def with_parts(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path: the host runs from the first ``://`` to ``/``, ``?``, ``#`` or the end, the path on to ``?`` or ``#``."""
+def with_parts(pages: DataFrame, keep: str = "page_id") -> DataFrame:
+    """The column ``keep``, url, host, path: the host runs from the first ``://`` to ``/``, ``?``, ``#`` or the end, the path on to ``?`` or ``#``."""
     part = lambda n: F.coalesce(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)([^?#]*)", n), F.lit(""))
-    return pages.select("page_id", "url", F.translate(part(1), UPPER, LOWER).alias("host"), part(2).alias("path"))
+    return pages.select(keep, "url", F.translate(part(1), UPPER, LOWER).alias("host"), part(2).alias("path"))
 
 
 def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
@@ -91,12 +91,11 @@ class Regression:
 
 def train(labelled: DataFrame, most: int = LABELLED) -> Regression:
     """``labelled``: url, label (block or allow). A bounded number of rows of each label come to the driver."""
-    parts = with_parts(labelled.select(F.lit(0).alias("page_id"), "url").distinct())
-    labels = labelled.groupBy("url").agg(F.min("label").alias("label"))
-    joined = parts.join(labels, "url").select("host", "path", "label", F.md5("url").alias("key"))
+    urls = labelled.groupBy("url").agg(F.min("label").alias("label")).filter("url IS NOT NULL")
+    parts = with_parts(urls, "label").select("host", "path", "label", F.md5("url").alias("key"))
     rows = []
     for label, y in (("allow", 0), ("block", 1)):
-        rows += [(r["host"], r["path"], y) for r in joined.filter(F.col("label") == label).orderBy("key", "host", "path").limit(most).collect()]
+        rows += [(r["host"], r["path"], y) for r in parts.filter(F.col("label") == label).orderBy("key", "host", "path").limit(most).collect()]
     return Regression(rows)
 
 
