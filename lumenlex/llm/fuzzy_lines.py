@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlex.llm.common import arrow_rows, map_arrow, table, written
+from lumenlex.llm.common import alone, arrow_rows, map_arrow, table, written
 from lumenlex.llm.graph import bucket_pairs_and_crowds, components, join_checked, pairs_apart
 from lumenlex.llm.hashing import mixed as _mixed64
 from lumenlex.llm.hashing import powers
@@ -44,13 +44,15 @@ BANDS = PAIR_BANDS + GRAM_BANDS
 CHUNK = 400_000
 #: Pairs of lines with at most so many characters are compared side by side, about so many characters at a time; longer
 #: ones each alone, and so are fewer than ``FEW`` pairs of like length.
-SIDE_BY_SIDE, ABREAST, FEW = 4000, 200_000, 24
+SIDE_BY_SIDE, ABREAST, FEW = 4000, 600_000, 24
 #: Pairs side by side take as many steps as the longest of them; no other is shorter than it by a larger factor.
 UNEVEN = 1.3
 #: Pairs, and characters of them, that a task gathers before it compares them.
 GATHERED, GATHERED_CHARACTERS = 8000, 4_000_000
 #: Counters of a line's characters.
 BAG = 64
+#: Shares of the steps after which pairs that cost too much already end.
+LOOKS = (0.35, 0.6)
 #: Entries of the table that says where the characters of the texts of a batch stand, at most.
 TABLE = 4_000_000
 
@@ -164,7 +166,7 @@ def distance(a: str, b: str, most: int) -> int:
     return score
 
 
-def distances(left: list[str], right: list[str]) -> np.ndarray:
+def distances(left: list[str], right: list[str], most: np.ndarray | None = None) -> np.ndarray:
     """The edit distances of many pairs of texts, exactly, in one pass over all of them side by side.
 
     A column of the table of distances is kept as its vertical differences, a bit each, in words of 64 rows; the
@@ -172,48 +174,101 @@ def distances(left: list[str], right: list[str]) -> np.ndarray:
     the word above it, so that all words of all pairs take part in each operation. A distance is the number of steps plus
     the vertical differences of the last column. So that all pairs take as many steps, both texts of a pair get the same
     filling at their ends, which changes no distance.
+
+    With ``most``, one for each pair, distances up to it are exact and larger ones are some number above it. A way of that
+    cost leaves the diagonal by ``most`` at most, so a word takes part only while its rows are as near to it. Before, its
+    vertical differences are 1 each; once it has left, each step along its last row costs 1. Both are ways that there
+    are, so no distance comes out too small, and the formula for it stays. At some columns, pairs end for which every row
+    already costs more, together with what the lengths that are left differ by.
     """
-    steps = max(1, *map(len, left))
-    fill = ["\udffe" * (steps - len(x)) for x in left]
-    sizes = np.array([len(y) + len(z) for y, z in zip(right, fill, strict=True)])
-    words, n = int(sizes.max()) // 64 + 1, len(left)
-    texts = [*((y + z).ljust(words * 64, "\udfff") for y, z in zip(right, fill, strict=True)), *(x + z for x, z in zip(left, fill, strict=True))]
-    known, codes = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    n, steps = len(left), max(1, *map(len, left))
+    sides = [np.array([len(x) for x in side]) for side in (right, left)]
+    sizes = sides[0] + steps - sides[1]
+    words = int(sizes.max()) // 64 + 1
+    texts = [np.frombuffer("".join(side).encode("utf-32-le", "surrogatepass"), np.uint32) for side in (right, left)]
+    seen = np.zeros(max(int(x.max()) if len(x) else 0 for x in texts) + 3, bool)
+    for codes in texts:
+        seen[codes] = True
+    seen[-2:] = True  # the filling, and what stands behind it
+    known = np.flatnonzero(seen)
     if n > 1 and words * n * len(known) > TABLE:
-        return np.concatenate([distances(left[: n // 2], right[: n // 2]), distances(left[n // 2 :], right[n // 2 :])])
-    codes = codes.astype(np.uint8 if len(known) < 256 else np.uint32)
-    rows, across = codes[: n * words * 64].reshape(n, -1), codes[n * words * 64 :].reshape(n, -1).T.astype(np.int64) * n
+        half = n // 2
+        parts = [(left[:half], right[:half], None if most is None else most[:half]), (left[half:], right[half:], None if most is None else most[half:])]
+        return np.concatenate([distances(*part) for part in parts])
+    number = np.zeros(len(seen), np.uint8 if len(known) < 256 else np.uint32)
+    number[known] = np.arange(len(known))
+    rows = np.full((n, words * 64), len(known) - 1, number.dtype)
+    columns = np.full((n, steps), len(known) - 2, number.dtype)
+    rows[np.arange(words * 64) < sizes[:, None]] = len(known) - 2
+    for table, size, codes in zip((rows, columns), sides, texts, strict=True):
+        table[np.arange(table.shape[1]) < size[:, None]] = number[codes]
+    columns = np.ascontiguousarray(columns.T)
     packed = lambda bits: np.packbits(bits, axis=1, bitorder="little").view(np.uint64).T
     where = np.empty((words, len(known), n), np.uint64)
     for c in range(len(known)):
         where[:, c] = packed(rows == c)
-    where, place = where.reshape(-1), np.arange(words)[:, None] * (len(known) * n) + np.arange(n)
     one, last = np.uint64(1), np.uint64(63)
     plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
     # The differences along the row above each word; above the first one each step costs 1.
     more, less = np.ones((words + 1, n), np.uint64), np.zeros((words + 1, n), np.uint64)
-    for slant in range(steps + words - 1):
-        low, high = max(0, slant - steps + 1), min(words, slant + 1)
-        equal = where.take(across[slant - high + 1 : slant - low + 1][::-1] + place[low:high])
-        p, m, h = plus[low:high], minus[low:high], less[low:high]
-        vertical = equal | m
-        equal |= h
-        horizontal = equal & p
-        horizontal += p
-        horizontal ^= p
-        horizontal |= equal
-        up = ~(horizontal | p)
-        up |= m
-        down = p & horizontal
-        next_more, next_less = up >> last, down >> last
-        up <<= one
-        up |= more[low:high]
-        down <<= one
-        down |= h
-        plus[low:high], minus[low:high] = down | ~(vertical | up), up & vertical
-        more[low + 1 : high + 1], less[low + 1 : high + 1] = next_more, next_less
-    inside = packed(np.arange(words * 64) < sizes[:, None])
-    return steps + (np.bitwise_count(plus & inside).sum(0, dtype=np.int64) - np.bitwise_count(minus & inside).sum(0, dtype=np.int64))
+    if most is None:
+        out, band, ends = None, steps + words * 64, [steps]
+    else:
+        out, band, ends = np.asarray(most) + 1, int(np.max(most)), [*(int(x * steps) for x in LOOKS if steps >= 128), steps]
+    live, begin = np.arange(n), 0
+    for end in ends:
+        across = columns[begin:end].astype(np.int64) * len(live)
+        flat, place = where.reshape(-1), np.arange(words)[:, None] * (len(known) * len(live)) + np.arange(len(live))
+        low = high = 0
+        for slant in range(end - begin + words - 1):
+            above = range(low, high)
+            low = max(0, slant - (end - begin) + 1, -((band + 63 - begin - slant) // 65))
+            high = min(words, slant + 1, (begin + slant + 1 + band) // 65 + 1)
+            if low >= high:
+                continue
+            if low and low - 1 not in above:
+                more[low], less[low] = 1, 0  # the word above has left
+            equal = flat.take(across[slant - high + 1 : slant - low + 1][::-1] + place[low:high])
+            p, m, h = plus[low:high], minus[low:high], less[low:high]
+            vertical = equal | m
+            equal |= h
+            horizontal = equal & p
+            horizontal += p
+            horizontal ^= p
+            horizontal |= equal
+            up = ~(horizontal | p)
+            up |= m
+            down = p & horizontal
+            next_more, next_less = up >> last, down >> last
+            up <<= one
+            up |= more[low:high]
+            down <<= one
+            down |= h
+            plus[low:high], minus[low:high] = down | ~(vertical | up), up & vertical
+            more[low + 1 : high + 1], less[low + 1 : high + 1] = next_more, next_less
+        begin = end
+        if end == steps:
+            break
+        bits = lambda x: np.unpackbits(np.ascontiguousarray(x.T).view(np.uint8), axis=1, bitorder="little").view(np.int8)
+        cost = np.cumsum(bits(plus) - bits(minus), axis=1, dtype=np.int32)
+        row = np.arange(1, words * 64 + 1, dtype=np.int32)
+        left_over = np.abs((sizes[live, None] - (steps - end)).astype(np.int32) - row)
+        cost += left_over
+        cost[row > sizes[live, None]] = band + 1
+        cheapest = end + np.minimum(cost.min(1), np.abs(sizes[live] - (steps - end)))
+        kept = cheapest < out[live]
+        if kept.mean() < 0.85:
+            live = live[kept]
+            if not len(live):
+                return out
+            columns, where = np.ascontiguousarray(columns[:, kept]), np.ascontiguousarray(where[:, :, kept])
+            plus, minus, more, less = (np.ascontiguousarray(x[:, kept]) for x in (plus, minus, more, less))
+    inside = packed(np.arange(words * 64) < sizes[live, None])
+    found = steps + (np.bitwise_count(plus & inside).sum(0, dtype=np.int64) - np.bitwise_count(minus & inside).sum(0, dtype=np.int64))
+    if out is None:
+        return found
+    out[live] = found
+    return out
 
 
 def allowed(longest, bound: float = SIMILARITY):
@@ -291,7 +346,7 @@ def similar_pairs(left: list[str], right: list[str], bound: float = SIMILARITY,
         a, b = [left[i] for i in chosen], [right[i] for i in chosen]
         most = allowed(np.maximum([len(x) for x in a], [len(x) for x in b]), bound)
         # A few pairs are faster each alone.
-        out[chosen] = distances(a, b) <= most if len(a) >= FEW else [distance(x, y, int(n)) <= n for x, y, n in zip(a, b, most, strict=True)]
+        out[chosen] = distances(a, b, most.astype(np.int64)) <= most if len(a) >= FEW else [distance(x, y, int(n)) <= n for x, y, n in zip(a, b, most, strict=True)]
         at = end
     return out
 
@@ -350,7 +405,10 @@ def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar_lines(docs: DataFrame, lines: DataFrame, bound: float = SIMILARITY) -> DataFrame:
-    """Verified pairs (a, b) of the ids in ``lines`` (id, doc_id, text_key, line, bands), as many as connect all that share a band."""
+    """Pairs (a, b) of the ids in ``lines`` (id, doc_id, text_key, line, bands) that connect what verified pairs connect.
+
+    Verified are as many pairs as connect all similar lines that share a band.
+    """
     spark = docs.sparkSession
     placed = lines.select(F.posexplode("bands").alias("place", "band"), F.col("id").alias("node"))
     keyed = placed.select((F.shiftleft(F.col("place").cast("bigint"), 32) + F.col("band")).alias("key"), "node")
@@ -379,8 +437,9 @@ def similar_lines(docs: DataFrame, lines: DataFrame, bound: float = SIMILARITY)
         return partners
 
     data = texts.join(lines.select("id", "bands"), "id").select(F.col("id").alias("node"), F.struct("bands", "text").alias("data"))
-    rest = written(pairs_apart(crowds, components(links), data, test, one_each=True, confirm=("text", lambda a, b: similar_pairs(a, b, bound, likely=False))), "links")
-    return links if rest.isEmpty() else links.unionByName(rest)
+    joined = written(components(links), "joined")
+    rest = written(pairs_apart(crowds, joined, data, test, one_each=True, confirm=("text", lambda a, b: similar_pairs(a, b, bound, likely=False))), "links")
+    return joined.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest)
 
 
 def verified(close: DataFrame, texts: DataFrame, bound: float) -> DataFrame:
@@ -429,7 +488,7 @@ def dropped_lines(docs: DataFrame, bound: float = SIMILARITY) -> DataFrame:
 
 def with_clean_text(docs: DataFrame, bound: float = SIMILARITY) -> DataFrame:
     """row (struct of all columns of ``docs``), clean (the text without the lines that go) and gone (how many they are)."""
-    gone = written(dropped_lines(docs, bound), "gone").alias("x")
+    gone = alone(docs.sparkSession, lambda: dropped_lines(docs, bound), "gone").alias("x")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     same = F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("x.doc_id")) & (F.xxhash64("row.text") == F.col("x.text_key"))
     found = join_checked(keyed, gone, same, items="gone")

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlex.llm import dart_minhash, fuzzy_lines, graph, ivf_pq, pii, toxicity
+from lumenlex.llm import common, dart_minhash, fuzzy_lines, graph, ivf_pq, pii, toxicity
 from lumenlex.llm.hashing import Split, shingles
 
 # --- graph
@@ -332,6 +333,32 @@ def test_edit_distances_side_by_side():
         assert fuzzy_lines.similar_pairs(a, b).tolist() == near
 
 
+def test_edit_distances_up_to_a_bound():
+    """Within the bound exact, beyond it some number above."""
+    rng = random.Random(22)
+    for most, letters in ((0, "ab"), (7, "ab"), (40, "abcdefgh "), (90, "abcdefgh ")):
+        a = ["".join(rng.choices(letters, k=rng.randint(1, 400))) for _ in range(80)]
+        b = [edited(rng, x, rng.randrange(1 + len(x.split()) // 2)) if rng.random() < 0.7 else "".join(rng.choices(letters, k=len(x))) for x in a]
+        wanted = fuzzy_lines.distances(a, b)
+        got = fuzzy_lines.distances(a, b, np.full(80, most))
+        assert (got[wanted <= most] == wanted[wanted <= most]).all() and (got[wanted > most] > most).all()
+
+
+def test_work_of_line_dedup_goes(spark):
+    """Of the tables that line dedup writes, only the one that its result reads stays; no shuffle files of the others do."""
+    rng = random.Random(23)
+    base = [sentence(rng, 20) for _ in range(120)]
+    lines = [x for line in base for x in (line, edited(rng, line, 1))]
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    store = jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    folder = f"{common.shared_dir(spark)}/lumenlex-{context.applicationId()}".removeprefix("file://")
+    before, shuffles, value = set(os.listdir(folder)) if os.path.isdir(folder) else set(), store.size(), spark.conf.get(common.CLEANUP)
+    out = fuzzy_lines.deduplicated(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string"))
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["gone"]
+    assert store.size() <= shuffles + 25 and spark.conf.get(common.CLEANUP) == value
+    assert sum(r["text"] == "" for r in out.collect()) >= 114
+
+
 def test_very_long_lines(spark):
     rng = random.Random(17)
     line = sentence(rng, 12_000)
@@ -405,6 +432,13 @@ def test_fuzzy_lines_with_other_words(spark, length, words):
 # --- toxicity
 
 
+def test_words_of_a_sample_are_small():
+    """Training holds all words of the sample on the driver: 4 bytes for what there is of each."""
+    words = toxicity.Words.joined([toxicity.Words([sentence(random.Random(24), 300)]) for _ in range(2)])
+    arrays = [words.of, words.word, words.prefix, words.length, words.gram, words.windows()[0]]
+    assert {x.dtype.itemsize for x in arrays} == {4} and words.windows()[0].min() == -1
+
+
 def labelled(n, seed):
     rng = random.Random(seed)
     mild, bad = [sentence(rng, 1) for _ in range(400)], ["fnord", "blargh", "zorkish"]
