@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlex.llm.common import map_arrow, table
+from lumenlex.llm.common import map_arrow, table, trim
 from lumenlex.llm.hashing import Split, segments, top_bits
 
 SAMPLE = {1: 1500, 0: 2500}
@@ -39,18 +39,22 @@ CHUNK = 150_000
 
 
 class Words:
-    """The words of some texts: ``of`` maps every word to one of the distinct words, ``counts`` has the words per text."""
+    """The words of some texts: ``of`` maps every word to one of the distinct words, ``counts`` has the words per text.
+
+    What there is of every word and trigram takes 4 bytes each, as training holds the words of the whole sample.
+    """
 
     def __init__(self, texts: list[str]):
         split = Split(texts)
         self.counts = split.counts
-        _, first, self.of = np.unique(split.hashes(), return_index=True, return_inverse=True)
+        _, first, of = np.unique(split.hashes(), return_index=True, return_inverse=True)
         starts = split.starts[first]
-        self.length = split.ends[first] - starts
-        self.word, self.prefix = top_bits(split.hashes()[first], WORD_BITS), top_bits(split.hashes(PREFIX)[first], PREFIX_BITS)
-        at, chars = segments(starts, self.length), split.chars
+        length = split.ends[first] - starts
+        self.of, self.length = of.astype(np.int32), length.astype(np.int32)
+        self.word, self.prefix = (top_bits(h[first], bits).astype(np.int32) for h, bits in ((split.hashes(), WORD_BITS), (split.hashes(PREFIX), PREFIX_BITS)))
+        at, chars = segments(starts, length), split.chars
         gram = chars[at - 1] * np.uint64(0x100000001B3) + chars[at] * np.uint64(0x9E3779B1) + chars[at + 1] * np.uint64(0x85EBCA77C2B2AE63)
-        self.gram = top_bits(gram, GRAM_BITS)
+        self.gram = top_bits(gram, GRAM_BITS).astype(np.int32)
 
     def __len__(self) -> int:
         return len(self.word)
@@ -60,7 +64,7 @@ class Words:
         """The words of several parts, one after the other; a word in two parts stays in each."""
         out = cls.__new__(cls)
         bases = np.cumsum([0, *map(len, parts)])
-        out.of = np.concatenate([part.of + base for part, base in zip(parts, bases, strict=False)])
+        out.of = np.concatenate([part.of + np.int32(base) for part, base in zip(parts, bases, strict=False)])
         for name in ("counts", "word", "prefix", "length", "gram"):
             setattr(out, name, np.concatenate([getattr(part, name) for part in parts]))
         return out
@@ -71,10 +75,11 @@ class Words:
         text = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
         offset = (np.cumsum(self.counts) - self.counts)[text]
-        inside = place[:, None] * STRIDE + np.arange(WINDOW)
-        valid = inside < self.counts[text][:, None]
-        at = np.minimum(offset[:, None] + inside, max(0, len(self.of) - 1))
-        return np.where(valid, self.of[at] if len(self.of) else 0, -1), text
+        at = place[:, None] * STRIDE + np.arange(WINDOW)
+        valid = at < self.counts[text][:, None]
+        at += offset[:, None]
+        np.minimum(at, max(0, len(self.of) - 1), out=at)
+        return np.where(valid, self.of[at] if len(self.of) else np.int32(0), np.int32(-1)), text
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -338,7 +343,9 @@ def accepted(docs: DataFrame, network: Network, bound: float = 0.5) -> DataFrame
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Network:
-    return train(*labelled_sample(docs, labels))
+    network = train(*labelled_sample(docs, labels))
+    trim()  # the driver goes on without the sample
+    return network
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
