@@ -6,7 +6,7 @@ lines that share one of ``PAIR_BANDS`` bands of ``PAIR_ROWS`` minima are candida
 few words, so they get ``GRAM_BANDS`` more, of their 4-grams. Candidates are verified exactly by the edit similarity of
 the whole normalised lines: 1 - distance / longer length, at least ``SIMILARITY``. First the sorted neighbours within the
 bands' buckets are verified, then all pairs that are still apart in a shared bucket, however crowded it is (see
-graph.bucket_pairs, graph.pairs_apart): no candidate is left out. Verified pairs form groups; the occurrence with the
+dealt.bucket_pairs, graph.pairs_apart): no candidate is left out. Verified pairs form groups; the occurrence with the
 smallest (doc_id, line number) of each group stays. Why not SimHash blocks: see the README.
 
 Defined results: blank lines are no occurrences and stay; null texts have no lines and stay null; texts are lines
@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlex.llm import dealt, graph
 from lumenlex.llm.common import alone, arrow_rows, map_arrow, table, written
-from lumenlex.llm.graph import bucket_pairs_and_crowds, components, join_checked, pairs_apart
+from lumenlex.llm.graph import components, join_checked, pairs_apart
 from lumenlex.llm.hashing import mixed as _mixed64
 from lumenlex.llm.hashing import powers
 
@@ -53,6 +54,8 @@ GATHERED, GATHERED_CHARACTERS = 8000, 4_000_000
 BAG = 64
 #: Shares of the steps after which pairs that cost too much already end.
 LOOKS = (0.35, 0.6)
+#: Bits for each text that loses lines, those of a block of the bitmap (Spark's own), and blocks at most (16 MB).
+MARK_BITS, BLOCK_BITS, MARK_BLOCKS = 16, 32768, 4096
 #: Entries of the table that says where the characters of the texts of a batch stand, at most.
 TABLE = 4_000_000
 
@@ -60,7 +63,15 @@ _zeros = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
 _turns = np.random.default_rng(20).integers(0, 1 << 32, (2, PAIR_MINIMA + GRAM_BANDS * GRAM_ROWS), np.uint32) | np.uint32(1)
 
 
+#: What becomes of the bytes of an ASCII line: the same, without its runs of white space.
+_plain = bytes(0x20 if chr(b).isspace() else ord(chr(b).lower()) for b in range(128)) + bytes(range(128, 256))
+_plain = _plain.translate(_zeros)
+
+
 def normalised(line: str) -> bytes:
+    if line.isascii():
+        held = line.encode().translate(_plain).strip(b" ")
+        return b" ".join(held.split()) if b"  " in held else held
     return " ".join(line.lower().split()).encode("utf-8", "replace").translate(_zeros)
 
 
@@ -351,82 +362,92 @@ def similar_pairs(left: list[str], right: list[str], bound: float = SIMILARITY,
     return out
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line (its number), digest (16 bytes of the normalised line), bands of every line that is not blank."""
+def occurrences(docs: DataFrame, parts: int) -> DataFrame:
+    """All lines that are not blank, dealt by the digests (16 bytes) of the normalised lines, with their bands. See ``dealt``."""
+
+    def lines_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        doc_id, text_key = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+        unknown, doc_id = doc_id.is_null().to_numpy(zero_copy_only=False), doc_id.fill_null(0).to_numpy(zero_copy_only=False)
+        rows, numbers, held, size = [], [], [], 0
+
+        def chunk() -> tuple:
+            places = np.empty(len(rows), dealt.PLACE)
+            for name, values in (("unknown", unknown[rows]), ("doc_id", doc_id[rows]), ("text_key", text_key[rows]), ("line", numbers)):
+                places[name] = values
+            digests = np.frombuffer(b"".join([hashlib.blake2b(line, digest_size=16).digest() for line in held]), "<u8").reshape(-1, 2)
+            flat, ends = bands_of(held)
+            counts = np.diff(ends, prepend=0)
+            short, flat = counts > PAIR_BANDS, flat.view(np.uint32)
+            at = (ends - counts)[:, None]
+            return digests, places, short, flat[at + np.arange(PAIR_BANDS)], flat[at[short] + np.arange(PAIR_BANDS, BANDS)]
 
-    def each(batch: pa.RecordBatch) -> Iterator[tuple[list, list, list, list, list]]:
-        rows, numbers, digests, held, size = [], [], [], [], 0
         for row, value in enumerate(batch.column(1)):
             text = value.as_py()
             for number, line in enumerate(text.split("\n") if text else ()):
                 if line := normalised(line):
                     rows.append(row)
                     numbers.append(number)
-                    digests.append(hashlib.blake2b(line, digest_size=16).digest())
                     held.append(line)
                     size += len(line)
                     if size >= CHUNK:
-                        yield rows, numbers, digests, held
-                        rows, numbers, digests, held, size = [], [], [], [], 0
+                        yield chunk()
+                        rows, numbers, held, size = [], [], [], 0
         if rows:
-            yield rows, numbers, digests, held
-
-    def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts = []
-        for rows, numbers, digests, held in each(batch):
-            at = pa.array(rows, pa.int64())
-            flat, ends = bands_of(held)
-            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
-            columns = {"doc_id": batch.column(0).take(at), "text_key": batch.column(2).take(at), "line": pa.array(numbers, pa.int32()), "digest": pa.array(digests, pa.binary()), "bands": bands}
-            parts.append(pa.RecordBatch.from_pydict(columns))
-        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
+            yield chunk()
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("text_key"))
-    return map_arrow(rows, batch_of, "doc_id bigint, text_key bigint, line int, digest binary, bands array<int>", 250)
+    return dealt.deal_lines(rows, lines_of, parts, 250)
 
 
 def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The normalised lines at (id, doc_id, text_key, line): id, text."""
+    """The normalised lines at (id, doc_id, text_key, line): the same with text and bands (4 bytes each)."""
     per_text = written(wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "wanted")
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key"))
     found = join_checked(keyed, per_text.alias("w"), same, "inner", items="wanted")
 
-    def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts = [], []
-        for text, lines in zip(batch.column(0), batch.column(1), strict=True):
+    def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rows, ids, numbers, lines = [], [], [], []
+        for row, (text, wanted) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
             held = text.as_py().split("\n")
-            for x in lines.as_py():
+            for x in wanted.as_py():
+                rows.append(row)
                 ids.append(x["id"])
-                texts.append(normalised(held[x["line"]]).decode())
-        return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
+                numbers.append(x["line"])
+                lines.append(normalised(held[x["line"]]))
+        if not rows:
+            return None
+        flat, ends = bands_of(lines)
+        bands = [x.tobytes() for x in np.split(flat, ends[:-1])]
+        at = pa.array(rows, pa.int64())
+        columns = {"id": pa.array(ids, pa.int64()), "doc_id": batch.column(2).take(at), "text_key": batch.column(3).take(at), "line": pa.array(numbers, pa.int32())}
+        return pa.RecordBatch.from_pydict(columns | {"text": pa.array([x.decode() for x in lines], pa.string()), "bands": pa.array(bands, pa.binary())})
 
-    return map_arrow(found.select("d.text", "wanted"), batch_of, "id bigint, text string", 250)
+    return map_arrow(found.select("d.text", "wanted", "d.doc_id", "d.text_key"), batch_of, "id bigint, doc_id bigint, text_key bigint, line int, text string, bands binary", 250)
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, bound: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of the ids in ``lines`` (id, doc_id, text_key, line, bands) that connect what verified pairs connect.
+def similar_lines(docs: DataFrame, met: DataFrame, bound: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of lines that connect what verified pairs connect, and the lines (id, doc_id, text_key, line) that may
+    be in one. ``met``: see ``dealt.bucket_pairs``.
 
     Verified are as many pairs as connect all similar lines that share a band.
     """
-    spark = docs.sparkSession
-    placed = lines.select(F.posexplode("bands").alias("place", "band"), F.col("id").alias("node"))
-    keyed = placed.select((F.shiftleft(F.col("place").cast("bigint"), 32) + F.col("band")).alias("key"), "node")
-    pairs, crowds = bucket_pairs_and_crowds(keyed, int(spark.conf.get("spark.sql.shuffle.partitions")), spread=16)
-    pairs = written(pairs, "candidates")
+    pairs = written(met.filter("b IS NOT NULL").select("a", "b").distinct(), "candidates")
+    crowds = met.filter("key IS NOT NULL").select("key", F.col("a").alias("node"))
+    lines = met.filter("line IS NOT NULL AND a IS NOT NULL").select(F.col("a").alias("id"), "doc_id", "text_key", "line")
     # All rows of crowded buckets are in the first pairs.
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = _lines_at(docs, lines.join(involved, "id").select("id", "doc_id", "text_key", "line"))
     # Rows equal in doc_id and text repeat their lines.
-    texts = written(texts.groupBy("id").agg(F.first("text").alias("text")), "line-texts")
+    texts = written(texts.groupBy("id").agg(*[F.first(x).alias(x) for x in ("doc_id", "text_key", "line", "text", "bands")]), "line-texts")
     links = verified(pairs, texts, bound)
 
     def test(key: int, data: pa.StructArray):
         size = np.array([len(text) for text in data.field("text").to_pylist()])
         bands = np.repeat(-1 - np.arange(len(size), dtype=np.int64)[:, None] << 32, BANDS, 1)  # absent ones equal no other
         for i, row in enumerate(data.field("bands").to_pylist()):
-            bands[i, : len(row)] = row
-        place = key + (1 << 31) >> 32
+            bands[i, : len(row) // 4] = np.frombuffer(row, np.int32)
+        place = key >> 32
 
         def partners(i: int, other: np.ndarray) -> np.ndarray:
             # A pair that shares several bands is tested in the first of them only.
@@ -436,10 +457,11 @@ def similar_lines(docs: DataFrame, lines: DataFrame, bound: float = SIMILARITY)
 
         return partners
 
-    data = texts.join(lines.select("id", "bands"), "id").select(F.col("id").alias("node"), F.struct("bands", "text").alias("data"))
+    data = texts.select(F.col("id").alias("node"), F.struct("bands", "text").alias("data"))
     joined = written(components(links), "joined")
     rest = written(pairs_apart(crowds, joined, data, test, one_each=True, confirm=("text", lambda a, b: similar_pairs(a, b, bound, likely=False))), "links")
-    return joined.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest)
+    links = joined.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest)
+    return links, texts.select("id", "doc_id", "text_key", "line")
 
 
 def verified(close: DataFrame, texts: DataFrame, bound: float) -> DataFrame:
@@ -473,28 +495,50 @@ def verified(close: DataFrame, texts: DataFrame, bound: float) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, bound: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key, lines: the numbers of the lines that go, for the texts that lose some."""
-    every = written(occurrences(docs), "occurrences")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.distinct_lines(occurrences(docs, parts), parts, PAIR_BANDS, BANDS - PAIR_BANDS)
+    met = written(dealt.bucket_pairs(rows, BANDS), "lines")
+    repeats = met.filter("line IS NOT NULL AND a IS NULL").select("doc_id", "text_key", "line")
+    links, involved = similar_lines(docs, met, bound)
+    joined = components(links).withColumnRenamed("node", "id")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "line")
-    grouped = every.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
-    lines = written(grouped.select(F.monotonically_increasing_id().alias("id"), "digest", "first", "n", "bands"), "lines")
-    links = similar_lines(docs, lines.select("id", "first.doc_id", "first.text_key", "first.line", "bands"), bound)
-    joined = written(components(links).withColumnRenamed("node", "id"), "line-groups")
-    named = join_checked(lines.select("id", "digest", "first", "n"), joined, "id").withColumn("component", F.coalesce("component", "id"))
-    groups = named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("size")).filter("size > 1")
-    repeated = named.join(groups, "component").select("digest", "stays")
-    gone = every.select("digest", "doc_id", "text_key", "line", place.alias("place")).join(repeated, "digest").filter("place <> stays")
+    named = written(involved.join(joined, "id").withColumn("place", place), "line-groups")
+    stay = named.groupBy("component").agg(F.min("place").alias("stays"))
+    gone = named.join(stay, "component").filter("place <> stays").select("doc_id", "text_key", "line").unionByName(repeats)
     return gone.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"))
 
 
+def _with_gone(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """``keyed`` (row) with gone, the numbers of the lines that go, or null.
+
+    Where ``gone`` is too large to be broadcast, only texts that may lose lines move to meet it. Each of its texts sets a bit
+    by its hash, in a bitmap that is broadcast; texts whose bit is not set lose nothing and stay where they are. The
+    bitmap's size is bounded: of more texts more bits are set by others, so more texts move, and no result changes.
+    """
+    gone = gone.alias("x")
+    same = F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("x.doc_id")) & (F.xxhash64("row.text") == F.col("x.text_key"))
+    held = gone.agg(F.sum(F.size("gone") + 1).alias("rows"), F.count(F.lit(1)).alias("texts")).first()
+    if (held["rows"] or 0) <= graph.BROADCAST_ROWS:
+        return keyed.join(F.broadcast(gone), same, "left").select("row", "x.gone")
+    blocks = min(MARK_BLOCKS, -(-held["texts"] * MARK_BITS // BLOCK_BITS))
+    at = lambda doc_id, text_key: F.pmod(F.xxhash64(doc_id, text_key), F.lit(blocks * BLOCK_BITS)).alias("at")
+    block, bit = F.expr(f"at div {BLOCK_BITS}").alias("block"), F.expr(f"at % {BLOCK_BITS}")
+    marks = gone.select(at(F.col("doc_id"), F.col("text_key"))).groupBy(block).agg(F.bitmap_construct_agg(bit).alias("marks"))
+    placed = keyed.select("row", at(F.col("row.doc_id").cast("bigint"), F.xxhash64("row.text"))).select("row", "at", block)
+    byte = F.conv(F.hex(F.expr(f"substring(marks, CAST(at % {BLOCK_BITS} div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    marked = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, CAST(at % 8 AS INT))")) != 0, F.lit(False))
+    tried = placed.join(F.broadcast(marks), "block", "left").select("row", marked.alias("marked"))
+    stay = tried.filter("NOT marked").select("row", F.lit(None).cast("array<int>").alias("gone"))
+    return stay.unionByName(tried.filter("marked").select("row").join(gone, same, "left").select("row", "x.gone"))
+
+
 def with_clean_text(docs: DataFrame, bound: float = SIMILARITY) -> DataFrame:
     """row (struct of all columns of ``docs``), clean (the text without the lines that go) and gone (how many they are)."""
-    gone = alone(docs.sparkSession, lambda: dropped_lines(docs, bound), "gone").alias("x")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    same = F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("x.doc_id")) & (F.xxhash64("row.text") == F.col("x.text_key"))
-    found = join_checked(keyed, gone, same, items="gone")
-    kept = F.filter(F.split("row.text", "\n"), lambda line, at: ~F.array_contains("x.gone", at))
-    clean = F.when(F.col("x.gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
-    return found.select("row", clean.alias("clean"), F.coalesce(F.size("x.gone"), F.lit(0)).alias("gone"))
+    gone = alone(docs.sparkSession, lambda: dropped_lines(docs, bound), "gone")
+    found = _with_gone(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), gone)
+    kept = F.filter(F.split("row.text", "\n"), lambda line, at: ~F.array_contains("gone", at))
+    clean = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return found.select("row", clean.alias("clean"), F.coalesce(F.size("gone"), F.lit(0)).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, bound: float = SIMILARITY) -> DataFrame:

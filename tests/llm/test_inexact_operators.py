@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlex.llm import common, dart_minhash, fuzzy_lines, graph, ivf_pq, pii, toxicity
+from lumenlex.llm import common, dart_minhash, dealt, fuzzy_lines, graph, ivf_pq, pii, toxicity
 from lumenlex.llm.hashing import Split, shingles
 
 # --- graph
@@ -385,6 +385,61 @@ def test_lines_in_crowds_against_all_pairs(spark, monkeypatch):
     assert left == set(leader) and len(left) <= 150
 
 
+def test_dealt_lines_against_plain_groups(spark):
+    """Pairs connect each bucket, crowds hold all of it, repeats go; a key of one part's lines meets those of the others."""
+    rng = random.Random(25)
+    lines = [(i, rng.randrange(300)) for i in range(400)]
+    rows = spark.createDataFrame([(i, f"{d}") for i, d in lines], "doc_id bigint, text string").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+
+    def lines_of(batch):
+        at = batch.column(0).to_numpy()
+        d = np.array([int(x) for x in batch.column(1).to_pylist()], np.uint64)
+        places = np.zeros(len(at), dealt.PLACE)
+        places["doc_id"], places["text_key"] = at, d.astype(np.int64)
+        bands = np.stack([d % 5, d * 77, d // 2], 1).astype(np.uint32)
+        yield np.stack([d * 0x9E3779B97F4A7C15, d], 1), places, d % 2 == 0, bands[:, :2], bands[d % 2 == 0][:, 2:]
+
+    for parts in (1, 7):
+        found = dealt.bucket_pairs(dealt.distinct_lines(dealt.deal_lines(rows, lines_of, parts, 50), parts, 2, 1), 3).collect()
+        node = {r["text_key"]: r["a"] for r in found if r["line"] is not None and r["a"] is not None}
+        first = {d: min(i for i, x in lines if x == d) for _, d in lines}
+        assert {r["text_key"]: r["doc_id"] for r in found if r["line"] is not None and r["a"] is not None} == first and len(set(node.values())) == len(first)
+        assert sorted(r["doc_id"] for r in found if r["line"] is not None and r["a"] is None) == sorted({i for i, _ in lines} - set(first.values()))
+        buckets = {}
+        for d in first:
+            for place, band in enumerate([d % 5, d * 77, *([d // 2] if d % 2 == 0 else [])]):
+                buckets.setdefault((place << 32) + band, set()).add(node[d])
+        pairs = {(r["a"], r["b"]) for r in found if r["b"] is not None}
+        crowds = [(r["key"], r["a"]) for r in found if r["key"] is not None]
+        assert len(crowds) == len(set(crowds)) and all(a < b for a, b in pairs)
+        for key, members in buckets.items():
+            assert len(members) < 3 or {n for k, n in crowds if k == key} == members
+            left = {min(members)}
+            while more := {x for p in pairs if left.intersection(p) for x in p if x in members} - left:
+                left |= more
+            assert left == members
+
+
+def test_texts_that_lose_nothing_do_not_move(spark, monkeypatch):
+    """Beyond the bound of a broadcast only texts whose bit is set are shuffled; the result is that of a broadcast."""
+    rng = random.Random(26)
+    line = sentence(rng, 20)
+    texts = [(i, f"{sentence(rng, 30)}\n{line}" if i % 10 == 0 else sentence(rng, 30)) for i in range(400)] + [(None, None), (None, line), (7, "")]
+    table = spark.createDataFrame(texts, "doc_id bigint, text string")
+    wanted = sorted(map(str, fuzzy_lines.deduplicated(table).collect()))
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 10)
+    out = fuzzy_lines.deduplicated(table)
+    assert sorted(map(str, out.collect())) == wanted and sum(line in x for x in wanted) == 1
+    keyed = table.select(F.struct("doc_id", "text").alias("row"))
+    gone = table.filter("doc_id % 10 = 0").select("doc_id", F.xxhash64("text").alias("text_key"), F.array(F.lit(1)).alias("gone"))
+    found = fuzzy_lines._with_gone(keyed, gone)
+    assert found.count() == len(texts) and found.filter("gone IS NOT NULL").count() == 40
+    # Bits are set for 40 of 403 texts, and by chance for few others: so many rows are sorted to be joined.
+    branch = found._jdf.queryExecution().analyzed().children().apply(1)
+    moved = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, branch).count()
+    assert 40 <= moved <= 60
+
+
 def test_repeated_lines_go(spark):
     rng = random.Random(12)
     line = sentence(rng, 40)
