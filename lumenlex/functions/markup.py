@@ -10,7 +10,7 @@ import html
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,15 +111,22 @@ def link_text(text: str) -> str:
     return "".join(out)
 
 
+#: Texts that are Python strings at one time.
+TEXTS = 64
+
+
 def _mapped(function: Callable[[str], str], text: Column) -> Column:
-    """A text function in Arrow batches; null stays null."""
+    """A text function in Arrow batches; null stays null. A few texts at a time are Python strings, whatever a batch holds."""
 
-    def each(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield part.map(function, na_action="ignore")
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for at in range(0, len(texts), TEXTS):
+                yield pa.array([None if t is None else function(t) for t in texts.slice(at, TEXTS).to_pylist()], pa.string())
+            del texts
+            pa.default_memory_pool().release_unused()
 
-    each.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(each, "string")(text)
+    each.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(each, "string")(text)
 
 
 def replace_links(text: Column) -> Column:

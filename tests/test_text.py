@@ -103,3 +103,11 @@ def test_nested_blocks_against_a_scan(spark):
         return "".join(out)
 
     assert each(spark, texts, lambda t: M.remove_nested(t, "{{", "}}")) == [scan(t) for t in texts]
+
+
+def test_few_texts_are_python_strings_at_once(spark, monkeypatch):
+    monkeypatch.setattr(M, "TEXTS", 2)
+    texts = [None, "", "a &amp; b", "&lt;x&gt;&nbsp;", None, "ሀ &#x1200;", "plain"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    found = [r["text"] for r in rows.select("id", M.decode_entities(F.col("text")).alias("text")).orderBy("id").collect()]
+    assert found == [None, "", "a & b", "<x> ", None, "ሀ ሀ", "plain"]
