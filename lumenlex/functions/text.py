@@ -29,13 +29,21 @@ def not_blank(text: Column) -> Column:
 
 def split_sentences(text: Column) -> Column:
     """Sentences of a clean text: a line break or a run of marks ends one; blank pieces are left out."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), strip), lambda s: s != "")
+    return F.filter(F.transform(split_pieces(text), strip), lambda s: s != "")
+
+
+def split_pieces(text: Column) -> Column:
+    """What ``split_sentences`` strips: some pieces are blank."""
+    return F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
 
 
 def join_initialisms(sentence: Column) -> Column:
-    """Single Ethiopic letters joined by periods become one word: the period between two lone letters goes."""
+    """Single Ethiopic letters joined by periods become one word: the period between two lone letters goes.
+
+    The pattern begins with the period, so that the search stops at periods only.
+    """
     letter = f"[{ETHIOPIC_LETTER}]"
-    return F.regexp_replace(sentence, f"(?<=(?<!{letter}){letter})\\.(?={letter}(?!{letter}))", "")
+    return F.regexp_replace(sentence, f"\\.(?<=(?<!{letter}){letter}\\.)(?={letter}(?!{letter}))", "")
 
 
 def tokenize(sentence: Column) -> Column:

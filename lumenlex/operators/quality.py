@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlex.functions import text as X
-from lumenlex.operators.corpus import token_frequency
+from lumenlex.sources.scratch import written
 
 TOP_TOKENS = 20
 TOP_CHARACTERS = 15
@@ -45,14 +50,28 @@ def sentence_lengths(sentences: DataFrame) -> DataFrame:
 
 
 def first_seen(sentences: DataFrame) -> DataFrame:
-    """word, n, first (place of its first occurrence)."""
-    placed = sentences.select("page_ord", "sent_idx", F.posexplode("tokens").alias("pos", "word"))
-    return placed.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page_ord", "sent_idx", "pos")).alias("first"))
+    """word, n, first (place of its first occurrence). Each batch of sentences counts its own words before they are shuffled."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.take(pc.sort_indices(batch, sort_keys=[("page_ord", "ascending"), ("sent_idx", "ascending")]))
+            tokens = rows.column("tokens")
+            sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            words = tokens.flatten().dictionary_encode()
+            _, at, n = np.unique(words.indices.to_numpy(), return_index=True, return_counts=True)
+            row = np.repeat(np.arange(len(sizes)), sizes)[at]
+            pos = at - (np.cumsum(sizes) - sizes)[row]
+            yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(n), rows.column("page_ord").take(pa.array(row)), rows.column("sent_idx").take(pa.array(row)), pa.array(pos, pa.int32())], names)
+
+    names, kinds = ["word", "n", "page_ord", "sent_idx", "pos"], dict(sentences.dtypes)
+    schema = f"word string, n bigint, page_ord {kinds['page_ord']}, sent_idx {kinds['sent_idx']}, pos int"
+    placed = sentences.select("page_ord", "sent_idx", "tokens").mapInArrow(seen, schema)
+    return placed.groupBy("word").agg(F.sum("n").alias("n"), F.min(F.struct("page_ord", "sent_idx", "pos")).alias("first"))
 
 
-def most_frequent(sentences: DataFrame, k: int = TOP_TOKENS) -> DataFrame:
-    """The k most frequent tokens; ties by first occurrence."""
-    return first_seen(sentences).orderBy(F.desc("n"), "first").limit(k).select("word", "n")
+def most_frequent(sentences: DataFrame, k: int = TOP_TOKENS, seen: DataFrame | None = None) -> DataFrame:
+    """The k most frequent tokens; ties by first occurrence. ``seen``: ``first_seen`` of the sentences, where it is there already."""
+    return (seen or first_seen(sentences)).orderBy(F.desc("n"), "first").limit(k).select("word", "n")
 
 
 def character_counts(frequency: DataFrame) -> DataFrame:
@@ -61,9 +80,11 @@ def character_counts(frequency: DataFrame) -> DataFrame:
     return chars.groupBy(X.character_bucket(F.col("ch")).alias("bucket")).agg(F.sum("n").alias("n"))
 
 
-def top_other_characters(sentences: DataFrame, k: int = TOP_CHARACTERS) -> DataFrame:
-    """The k most common characters of no class: ch, label, n; ties by first occurrence, token by token."""
-    chars = first_seen(sentences).select("n", "first", F.posexplode(F.split("word", "")).alias("at", "ch")).filter("ch <> ''")
+def top_other_characters(sentences: DataFrame, k: int = TOP_CHARACTERS, seen: DataFrame | None = None) -> DataFrame:
+    """The k most common characters of no class: ch, label, n; ties by first occurrence, token by token. ``seen`` as above."""
+    # Most words hold characters of the classes only; they go before their characters are told apart.
+    inside = "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for _, ranges in X.BUCKETS for low, high in ranges)
+    chars = (seen or first_seen(sentences)).filter(F.rlike("word", F.lit(f"[^{inside}]"))).select("n", "first", F.posexplode(F.split("word", "")).alias("at", "ch")).filter("ch <> ''")
     other = chars.filter(X.character_bucket(F.col("ch")) == "other")
     counted = other.groupBy("ch").agg(F.sum("n").alias("n"), F.min(F.struct("first", "at")).alias("place"))
     return counted.orderBy(F.desc("n"), "place").limit(k).select("ch", X.code_point_label(F.col("ch")).alias("label"), "n")
@@ -79,7 +100,8 @@ def dedup_counts(before: DataFrame, after: DataFrame) -> DataFrame:
 def build_quality_report(before: DataFrame, sentences: DataFrame, n_pages: int, pages_without: int, raw_characters: int) -> dict:
     """The report as a dictionary of plain numbers; percentages and means are rounded on the driver.
 
-    Every section is an aggregate; what reaches the driver are single rows and the two short top lists.
+    Every section is an aggregate; what reaches the driver are single rows and the two short top lists. The words are
+    counted once and written; the frames given are read more than once, so what is costly to make should be written too.
     """
     if raw_characters < 1:
         raise ValueError("raw_characters must be at least 1")
@@ -91,7 +113,8 @@ def build_quality_report(before: DataFrame, sentences: DataFrame, n_pages: int,
         raise ValueError("the final corpus has no sentences")
     if n_after > n_before:
         raise ValueError("the final corpus is larger than the one before deduplication")
-    frequency = token_frequency(sentences)
+    seen = written(first_seen(sentences), "words")
+    frequency = seen.select("word", "n")
     totals, lengths = token_totals(frequency).first(), sentence_lengths(sentences).first()
     characters = {r["bucket"]: r["n"] for r in character_counts(frequency).collect()}
     kept = sum(characters.values())
@@ -109,7 +132,7 @@ def build_quality_report(before: DataFrame, sentences: DataFrame, n_pages: int,
             "distinct": totals["distinct_tokens"],
             "seen_once": totals["seen_once"],
             **{f"seen_at_least_{k}": totals[f"seen_at_least_{k}"] for k in (5, 10, 20)},
-            "most_frequent_20": [(r["word"], r["n"]) for r in most_frequent(sentences).collect()],
+            "most_frequent_20": [(r["word"], r["n"]) for r in most_frequent(sentences, seen=seen).collect()],
         },
         "sentence_length_tokens": {
             "min": lengths["min_length"],
@@ -119,7 +142,7 @@ def build_quality_report(before: DataFrame, sentences: DataFrame, n_pages: int,
             "max": lengths["max_length"],
         },
         "characters_in_final_tokens": characters,
-        "most_common_other_characters": [[r["ch"], r["label"], r["n"]] for r in top_other_characters(sentences).collect()],
+        "most_common_other_characters": [[r["ch"], r["label"], r["n"]] for r in top_other_characters(sentences, seen=seen).collect()],
         "discarded_text": {
             "raw_characters": raw_characters,
             "characters_in_final_tokens": kept,

@@ -101,3 +101,46 @@ def test_quality_report(spark):
 def test_lengths_p95_is_by_place(spark):
     lengths = Q.sentence_lengths(table(spark, [["x"] * n for n in range(1, 21)])).first()
     assert (lengths["p95_length"], lengths["median_length"], lengths["n_tokens"]) == (20, 10.5, 210)
+
+
+def test_vocabularies_are_looked_up_as_they_are_joined(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    s = spark.createDataFrame([(i // 3, i % 3, [rng.choice([*words, "no"]) for _ in range(i % 7)]) for i in range(90)], "page_ord bigint, sent_idx int, tokens array<string>")
+    v = spark.createDataFrame([(i, w, 1) for i, w in enumerate(words)], "id int, word string, n bigint")
+    looked = [C.id_sentences(s, v, 2), C.known_tokens(s, v), C.known_tokens(s, v, False)]
+    for frame in looked:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    monkeypatch.setattr(C, "MOST_WORDS", 29)
+    joined = [C.id_sentences(s, v, 2), C.known_tokens(s, v), C.known_tokens(s, v, False)]
+    for a, b in zip(looked, joined, strict=True):
+        assert a.dtypes == b.dtypes and sorted(a.collect()) == sorted(b.collect())
+    monkeypatch.setattr(C, "MOST_WORDS", 99)
+    twice = v.union(v.limit(1))  # a word that stands twice is joined twice
+    assert "Join" in C.id_sentences(s, twice)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("window", [1, 2, 4])
+@pytest.mark.parametrize("piece", [5, 1 << 22])
+def test_pair_counts_of_sentences(spark, monkeypatch, window, piece):
+    monkeypatch.setattr(C, "COUNTED", piece)
+    monkeypatch.setattr(C, "PLACES", 3)
+    sentences = [[0, 1, 0, 2], [3], [], [1, 1, 1], [2**31 - 1, 0, 5, 2**31 - 1], [4, 5]]
+    ids = spark.createDataFrame([(0, i, s) for i, s in enumerate(sentences)], "page_ord bigint, sent_idx int, ids array<int>")
+    wanted = Counter((s[c], s[q]) for s in sentences for c in range(len(s)) for q in range(len(s)) if 1 <= abs(c - q) <= window)
+    found = C.sentence_pair_counts(ids, window)
+    assert {(r["center"], r["context"]): r["n"] for r in found.collect()} == wanted
+    assert found.dtypes == C.pair_counts(C.generate_pairs(ids, window)).dtypes
+    with pytest.raises(ValueError):
+        C.sentence_pair_counts(ids, 0)
+
+
+def test_words_are_counted_before_they_move(spark):
+    """What leaves a task is a row for each word of a batch, not one for each occurrence."""
+    s = spark.createDataFrame([(1 - i % 2, i // 2, ["a", "b", "a"] if i else ["c", "a"]) for i in range(200)], "page_ord bigint, sent_idx int, tokens array<string>").coalesce(1)
+    found = {r["word"]: (r["n"], tuple(r["first"])) for r in Q.first_seen(s).collect()}
+    assert found == {"a": (399, (0, 0, 0)), "b": (199, (0, 0, 1)), "c": (1, (1, 0, 0))}
+    assert {r["word"]: r["n"] for r in C.token_frequency(s).collect()} == {"a": 399, "b": 199, "c": 1}
+    for frame in (Q.first_seen(s), C.token_frequency(s)):
+        assert "Generate" not in frame._jdf.queryExecution().executedPlan().toString()
